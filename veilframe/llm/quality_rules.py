@@ -40,12 +40,13 @@ def _share(part: str, of: str) -> Column:
 
 #: Rule name -> (votes bad if, votes good if).
 RULES = {
-    "length": lambda: (_f("n_words") < 20, _f("n_words") >= 50),
+    "length": lambda: (_f("n_words") < 10, _f("n_words") >= 50),
     "symbols": lambda: (_share("n_symbols", "n_words") > 0.2, (_f("n_words") >= 10) & (_share("n_symbols", "n_words") <= 0.02)),
-    "line_copies": lambda: (_share("n_dup_lines", "n_lines") > 0.3, (_f("n_lines") >= 3) & (_f("n_dup_lines") == 0)),
-    "repeats": lambda: (_share("n_repeat_words", "n_words") > 0.15, (_f("n_words") >= 30) & (_share("n_repeat_words", "n_words") <= 0.02)),
+    "symbol_density": lambda: (_share("n_symbols", "word_chars") > 0.04, (_f("n_words") >= 10) & (_share("n_symbols", "word_chars") <= 0.004)),
+    "line_copies": lambda: ((_f("n_lines") >= 6) & (_share("n_dup_lines", "n_lines") > 0.3), (_f("n_lines") >= 3) & (_f("n_dup_lines") == 0)),
+    "repeats": lambda: (_share("n_repeat_words", "n_words") > 0.2, (_f("n_words") >= 30) & (_share("n_repeat_words", "n_words") <= 0.02)),
     "word_length": lambda: ((_share("word_chars", "n_words") < 2.5) | (_share("word_chars", "n_words") > 12), _share("word_chars", "n_words").between(3.0, 9.0)),
-    "stop_words": lambda: ((_f("n_words") >= 30) & (_f("n_stops") < 2), _f("n_stops") >= 3),
+    "stop_words": lambda: ((_f("n_words") >= 60) & (_f("n_stops") == 0), _f("n_stops") >= 3),
     "capitals": lambda: (_share("n_capitals", "word_chars") > 0.3, (_f("word_chars") >= 40) & (_share("n_capitals", "word_chars") < 0.1)),
     "shouting": lambda: (_share("n_exclaims", "n_words") > 0.3, (_f("n_words") >= 30) & (_share("n_exclaims", "n_words") < 0.05)),
 }
@@ -98,21 +99,21 @@ class RuleModel:
         return total
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, strength: float = 20.0, held: float = 0.85, prior: float = 0.8) -> RuleModel:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, strength: float = 0.02, held: tuple[float, float, float] = (0.97, 0.3, 0.9)) -> RuleModel:
     """Expectation-maximisation from vote patterns and their counts.
 
-    held: the accuracy a rule is believed to have before data, worth `strength` votes; accuracies stay within
-    0.55 and 0.995, so that no rule changes its meaning.
+    held: what is believed of P(votes good | good), P(votes bad | bad) and P(good) before data, worth `strength` votes a document.
+    A rule that looks for one defect passes bad documents with other defects, hence the second, low value. The first
+    guess takes a document for bad if any rule votes so. A vote is never allowed to count against its own meaning.
     """
-    n_rules = len(RULES)
-    good, bad, base = [held] * n_rules, [held] * n_rules, prior
     clip = lambda x, lo, hi: min(max(x, lo), hi)
+    guess = [0.05 if BAD in votes else 0.95 if GOOD in votes else 0.5 for votes, _ in patterns]
+    strength *= max(1, sum(count for _, count in patterns))
+    then: list[float] = []
     for _ in range(rounds):
-        sums = [[strength * held, strength, strength * held, strength] for _ in range(n_rules)]
-        mass = [strength * prior, strength]
-        for votes, count in patterns:
-            odds = math.log(base / (1 - base)) + sum(math.log(g / (1 - b)) if v == GOOD else math.log((1 - g) / b) if v == BAD else 0.0 for v, g, b in zip(votes, good, bad, strict=True))
-            p = 1 / (1 + math.exp(-clip(odds, -500, 500)))
+        sums = [[strength * held[0], strength, strength * held[1], strength] for _ in RULES]
+        mass = [strength * held[2], strength]
+        for (votes, count), p in zip(patterns, guess, strict=True):
             mass[0] += p * count
             mass[1] += count
             for s, v in zip(sums, votes, strict=True):
@@ -120,12 +121,16 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, str
                     s[1] += p * count
                     s[3] += (1 - p) * count
                     s[0 if v == GOOD else 2] += (p if v == GOOD else 1 - p) * count
-        then = (good, bad, base)
-        good = [clip(s[0] / s[1], 0.55, 0.995) for s in sums]
-        bad = [clip(s[2] / s[3], 0.55, 0.995) for s in sums]
+        good = [clip(s[0] / s[1], 0.5, 0.9995) for s in sums]
+        bad = [clip(s[2] / s[3], 1 - g + 1e-6, 0.9995) for s, g in zip(sums, good, strict=True)]
         base = clip(mass[0] / mass[1], 0.05, 0.995)
-        if max(abs(a - b) for a, b in zip([*good, *bad, base], [*then[0], *then[1], then[2]], strict=True)) < 1e-9:
+        now = [*good, *bad, base]
+        if then and max(abs(x - y) for x, y in zip(now, then, strict=True)) < 1e-9:
             break
+        then = now
+        for i, (votes, _count) in enumerate(patterns):
+            odds = math.log(base / (1 - base)) + sum(math.log(g / (1 - b)) if v == GOOD else math.log((1 - g) / b) if v == BAD else 0.0 for v, g, b in zip(votes, good, bad, strict=True))
+            guess[i] = 1 / (1 + math.exp(-clip(odds, -500, 500)))
     return RuleModel(base, tuple(good), tuple(bad))
 
 
