@@ -1,13 +1,15 @@
 """The queries of this folder by name, and SQL for those that SQL can express."""
 
-from veilframe.llm import secrets
+from veilframe.llm import decontaminate, secrets
 from veilframe.llm.quality_rules import op9
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
+    "op3_decontamination": decontaminate.op3,
     "op9_quality_rules": op9,
 }
 
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.ORACLE,
+    "op3_decontamination": decontaminate.ORACLE,
 }

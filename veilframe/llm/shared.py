@@ -53,6 +53,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def chunks(batch, column: str, most: int = 8 << 20):
+    """Slices of an Arrow batch with about `most` bytes in a binary or string column (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    start, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and total + n > most:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def words(text: Column) -> Column:
     """The words of a text between ASCII white space; an empty array for null or blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
