@@ -1,11 +1,12 @@
 """The queries of this folder by name, and SQL for those that SQL can express."""
 
-from veilframe.llm import decontaminate, secrets
+from veilframe.llm import decontaminate, packing, secrets
 from veilframe.llm.quality_rules import op9
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op3_decontamination": decontaminate.op3,
+    "op7_best_fit_packing": packing.op7,
     "op9_quality_rules": op9,
 }
 
