@@ -1,11 +1,12 @@
 """The queries of this folder by name, and SQL for those that SQL can express."""
 
-from veilframe.llm import decontaminate, packing, secrets
+from veilframe.llm import decontaminate, packing, secrets, warc
 from veilframe.llm.quality_rules import op9
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op3_decontamination": decontaminate.op3,
+    "op6_warc_index": warc.op6,
     "op7_best_fit_packing": packing.op7,
     "op9_quality_rules": op9,
 }
@@ -13,4 +14,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.ORACLE,
     "op3_decontamination": decontaminate.ORACLE,
+    "op6_warc_index": warc.ORACLE,
 }
