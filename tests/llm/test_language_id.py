@@ -1,0 +1,41 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from veilframe.llm import language_id as L
+
+
+@pytest.mark.parametrize("k", [2, 3, 4, 5, 8, 20])
+def test_codewords_are_apart(k):
+    code = L.codewords(k)
+    apart = [(code[i] != code[j]).sum() for i in range(k) for j in range(i)]
+    assert code.shape[0] == k and min(apart) >= (1 if k == 2 else 2)
+    assert all(abs(c.sum()) < k for c in code.T)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    got = L.op8(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(lang)
+    held = [r for r in got if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {d for d in lang if zlib.crc32(str(d).encode()) % 5 == 0}
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) >= 0.97
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_defined_cases(spark):
+    rows = [(i, t, g, "x") for i, (t, g) in enumerate([("the cat and the dog ran", "en"), ("le chat et la souris", "fr")] * 30)]
+    rows += [(100, None, "en", ""), (101, "", None, ""), (102, "123 !! --", "fr", ""), (None, "the dog", "en", ""), (103, "THE CAT " * 50_000, None, ""), (103, "le chat", None, ""), (103, "le chat", None, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _language string")
+    got = L.predict(df, L.train(df), keep_cols=["doc_id"]).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r["_language"])
+    assert len(got) == len(rows)
+    assert [by[k][0]["lang_pred"] for k in (100, 101, 102, None)] == ["und", "und", "und", "en"]
+    assert sorted(x["lang_pred"] for x in by[103]) == ["en", "fr", "fr"]
+    empty = df.limit(0)
+    assert L.predict(empty, L.train(empty), keep_cols=["doc_id"]).count() == 0
+    assert L.predict(df.limit(3), L.train(empty), keep_cols=["doc_id"]).collect()[0]["_language"]["lang_pred"] == "und"

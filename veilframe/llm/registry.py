@@ -1,6 +1,6 @@
 """The queries of this folder by name, and SQL for those that SQL can express."""
 
-from veilframe.llm import decontaminate, packing, secrets, warc
+from veilframe.llm import decontaminate, language_id, packing, secrets, warc
 from veilframe.llm.quality_rules import op9
 
 QUERIES = {
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3,
     "op6_warc_index": warc.op6,
     "op7_best_fit_packing": packing.op7,
+    "op8_language_id": language_id.op8,
     "op9_quality_rules": op9,
 }
 
