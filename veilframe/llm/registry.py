@@ -1,15 +1,17 @@
 """The queries of this folder by name, and SQL for those that SQL can express."""
 
-from veilframe.llm import decontaminate, language_id, packing, secrets, warc
+from veilframe.llm import decontaminate, language_id, packing, quality_classifier, secrets, token_counts, warc
 from veilframe.llm.quality_rules import op9
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op3_decontamination": decontaminate.op3,
+    "op5_quality_classifier": quality_classifier.op5,
     "op6_warc_index": warc.op6,
     "op7_best_fit_packing": packing.op7,
     "op8_language_id": language_id.op8,
     "op9_quality_rules": op9,
+    "op10_token_counts": token_counts.op10,
 }
 
 ORACLES: dict[str, str] = {
