@@ -1,10 +1,11 @@
 """The queries of this folder by name, and SQL for those that SQL can express."""
 
-from veilframe.llm import decontaminate, language_id, packing, quality_classifier, secrets, token_counts, warc
+from veilframe.llm import decontaminate, language_id, packing, quality_classifier, secrets, simhash, token_counts, warc
 from veilframe.llm.quality_rules import op9
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
+    "op2_simhash_dedup": simhash.op2,
     "op3_decontamination": decontaminate.op3,
     "op5_quality_classifier": quality_classifier.op5,
     "op6_warc_index": warc.op6,
