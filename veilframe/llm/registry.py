@@ -1,12 +1,13 @@
 """The queries of this folder by name, and SQL for those that SQL can express."""
 
-from veilframe.llm import decontaminate, language_id, packing, quality_classifier, secrets, simhash, token_counts, warc
+from veilframe.llm import decontaminate, language_id, packing, quality_classifier, secrets, simhash, substring_dedup, token_counts, warc
 from veilframe.llm.quality_rules import op9
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op2_simhash_dedup": simhash.op2,
     "op3_decontamination": decontaminate.op3,
+    "op4_substring_dedup": substring_dedup.op4,
     "op5_quality_classifier": quality_classifier.op5,
     "op6_warc_index": warc.op6,
     "op7_best_fit_packing": packing.op7,
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.ORACLE,
     "op3_decontamination": decontaminate.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
     "op6_warc_index": warc.ORACLE,
 }
