@@ -75,3 +75,13 @@ def test_columns_survive_packing():
         keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         ids = rng.integers(0, 2**63, n)
         assert (D.unpack(D.pack(keys, True), True) == keys).all() and (D.unpack(D.pack(ids)).view(np.int64) == ids).all()
+
+
+def test_names_tell_words_apart():
+    rng = random.Random(6)
+    words = [bytes(rng.choices(b"ab\xc3\xa9", k=rng.choice([1, 2, 9]))) for _ in range(500)] + [b"z" * 1500, b"z" * 1501, b"y" * (1 << 21)]
+    texts = [b" \t".join(rng.choices(words[:500], k=50)) + b"\x0b" for _ in range(20)] + [None, b"", b"  ", b" ".join(words), words[-1] + b" " + words[0]]
+    found, sizes = D.names(texts)
+    flat = [w for t in texts for w in (t or b"").split()]
+    assert sizes.tolist() == [len((t or b"").split()) for t in texts]
+    assert len(set(zip(flat, found.tolist()))) == len(set(flat)) == len(set(found.tolist()))

@@ -24,6 +24,8 @@ from each other, so repeated rows get equal results; a text shorter than a windo
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -45,35 +47,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Names(dict):
-    """Names of words, remembered."""
+#: ASCII white space, and a random number for each byte.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
+#: Bytes named at a time; longer words are hashed one by one.
+_BLOCK, _LONG_WORD = 1 << 20, 1 << 10
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """M**i and M**-i modulo 2**64 for i up to n."""
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, m, np.uint64)])) for m in (M, INVERSE))
+
+
+def names(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all words of the texts, and how many words each has.
 
-    def __missing__(self, word: bytes) -> int:
+    A word's name is a polynomial over its bytes, from running sums over a block; a long word's is its XXH64.
+    """
+    buffer = b" ".join([t or b"" for t in texts])
+    bytes_ = np.frombuffer(buffer, dtype=np.uint8)
+    word = np.concatenate([[False], ~_SPACE[bytes_], [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    text_ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    sizes = np.diff(np.searchsorted(starts, text_ends), prepend=0)
+    out = np.empty(len(starts), dtype=np.uint64)
+    power, undo = _powers(_BLOCK + _LONG_WORD)
+    long = ends - starts > _LONG_WORD
+    for i in np.flatnonzero(long).tolist():
         import xxhash
 
-        name = self[word] = xxhash.xxh64_intdigest(word)
-        return name
+        out[i] = xxhash.xxh64_intdigest(buffer[starts[i]:ends[i]])
+    short = np.flatnonzero(~long)
+    cuts = np.searchsorted(starts[short], np.arange(0, len(bytes_) + _BLOCK, _BLOCK))
+    for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        if lo < hi:
+            at = short[lo:hi]
+            first, last = int(starts[at[0]]), int(ends[at[-1]])
+            sums = np.zeros(last - first + 1, dtype=np.uint64)
+            np.cumsum(_BYTE[bytes_[first:last]] * power[:last - first], out=sums[1:])
+            s, e = starts[at] - first, ends[at] - first
+            out[at] = mixed((sums[e] - sums[s]) * undo[s] + (e - s).astype(np.uint64))
+    return out, sizes
 
 
 class Group:
     """The words of a group of documents as one sequence of names."""
 
     def __init__(self, texts: list[bytes | None], ids: list[int | None]):
-        names = _Names()
-        parts = []
-        for t in texts:
-            words = (t or b"").split()
-            parts.append(np.fromiter(map(names.__getitem__, words), dtype=np.uint64, count=len(words)))
-        self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
-        self.x = np.concatenate([*parts, np.zeros(0, np.uint64)])
+        self.x, self.sizes = names(texts)
         self.ends = np.cumsum(self.sizes)
         self.ids = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
         n = len(self.x)
-        with np.errstate(over="ignore"):
-            power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, M, np.uint64)]))[:n]
-            self.undo = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, INVERSE, np.uint64)]))[:n]
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.x * power)])
-        self.doc = np.repeat(np.arange(len(parts)), self.sizes)
+        power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, M, np.uint64)]))[:n]
+        self.undo = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, INVERSE, np.uint64)]))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.x * power, dtype=np.uint64)])
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
 
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of the word sequences [a, b)."""
@@ -129,18 +159,24 @@ class Group:
         return at[self.doc[at] == self.doc[at + window - 1]]
 
     def covered(self, starts: np.ndarray, width: int | np.ndarray) -> np.ndarray:
-        marks = np.zeros(len(self.x) + 1, dtype=np.int64)
-        np.add.at(marks, starts, 1)
-        np.add.at(marks, starts + width, -1)
-        return np.cumsum(marks)[:-1] > 0
+        n = len(self.x) + 1
+        return np.cumsum(np.bincount(starts, minlength=n) - np.bincount(starts + width, minlength=n))[:-1] > 0
+
+    def holders(self, keys: np.ndarray, at: np.ndarray) -> Holders:
+        return Holders(keys, self.ids[self.doc[at]])
+
+
+class Holders:
+    """Keys in order, and the least and the largest id of the documents that hold each."""
 
-    def least(self, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys, sorted, with the least id of the documents at which they are."""
-        ids = self.ids[self.doc[at]]
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-        return keys[first], ids[first]
+    def __init__(self, keys: np.ndarray, ids: np.ndarray):
+        self.order = np.argsort(keys)
+        self.sorted, self.ids = keys[self.order], ids[self.order]
+        first = np.concatenate([[True], self.sorted[1:] != self.sorted[:-1]]) if len(keys) else np.zeros(0, bool)
+        cuts = np.flatnonzero(first)
+        self.number = np.cumsum(first) - 1
+        self.keys = self.sorted[cuts]
+        self.least, self.largest = (f.reduceat(self.ids, cuts) if len(cuts) else self.ids for f in (np.minimum, np.maximum))
 
 
 def thinning(window: int, rounds: int, phrase: int) -> int:
@@ -216,14 +252,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def send_anchors(key, docs):
         group = opened(docs)
         keys, at, _ = group.anchors(window, rounds, phrase)
-        keys &= ~np.uint64(1)
-        order = np.lexsort((group.ids[group.doc[at]], keys))
-        keys, ids = keys[order], group.ids[group.doc[at]][order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
-        several = np.zeros(len(keys), dtype=np.uint64)
-        several[1:] = (keys[1:] == keys[:-1]) & (ids[1:] != ids[:-1])
-        flag = np.minimum(np.add.reduceat(several, np.flatnonzero(first)), 1).astype(np.uint64) if len(keys) else several
-        return _dealt(key[0].as_py(), keys[first] | flag, buckets)
+        held = group.holders(keys & ~np.uint64(1), at)
+        return _dealt(key[0].as_py(), held.keys | (held.least != held.largest).astype(np.uint64), buckets)
 
     def share_anchors(key, table):
         held, keys = table.column("g").to_pylist(), [unpack(x.as_py(), True) for x in table.column("keys")]
@@ -246,8 +276,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         first = np.maximum(b[mine] - window, 0)  # the windows that contain [a, b) start from b - window to a
         near = group.covered(first, a[mine] + 1 - first)
         starts = starts[near[starts]]
-        keys, ids = group.least(group.hashes(starts, starts + window), starts)
-        return _dealt(key[0].as_py(), keys, buckets, ids)
+        held = group.holders(group.hashes(starts, starts + window), starts)
+        return _dealt(key[0].as_py(), held.keys, buckets, held.least)
 
     def share_windows(key, table):
         held, keys = table.column("g").to_pylist(), [unpack(x.as_py(), True) for x in table.column("keys")]
@@ -263,12 +293,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def finish(key, docs, foreign):
         group = opened(docs) if docs.num_rows else Group([], [])
         starts = group.windows(window)
-        keys = group.hashes(starts, starts + window)
-        distinct, least = group.least(keys, starts)
-        gone = _within(keys, _received(foreign))
-        if len(distinct):
-            gone |= least[np.searchsorted(distinct, keys)] < group.ids[group.doc[starts]]
-        gone = group.covered(starts[gone], window)
+        held = group.holders(group.hashes(starts, starts + window), starts)
+        gone = _within(held.keys, _received(foreign))[held.number] | (held.least[held.number] < held.ids)
+        gone = group.covered(starts[held.order[gone]], window)
         removed, kept = [], []
         for text, a, b in zip(docs.column("text").to_pylist(), (group.ends - group.sizes).tolist(), group.ends.tolist(), strict=True):
             out = gone[a:b]
