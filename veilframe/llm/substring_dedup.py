@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.shared import documents
+from veilframe.llm.shared import documents, named
 
 WINDOW, ROUNDS, PHRASE = 13, 1, 5
 GROUP_BYTES, BUCKET_BYTES = 8 << 20, 96 << 20
@@ -206,7 +206,7 @@ def _dealt(group: int, keys: np.ndarray, buckets: int, *others: np.ndarray) -> p
     """Sorted keys, and columns beside them, as one row for each bucket of keys."""
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(keys) else []
-    rows = [(int(bucket[a]), pack(keys[a:b], True), *[pack(o[a:b]) for o in others]) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+    rows = [(int(bucket[a]), pack(keys[a:b], True), *[pack(o[a:b]) for o in others]) for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=False)]  # no key, no row
     columns = [pa.array([group] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[1 + k] for r in rows], pa.binary()) for k in range(1 + len(others))]]
     return pa.Table.from_arrays(columns, names=["g", "bucket", "keys", "ids"][:3 + len(others)])
 
@@ -239,7 +239,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Removed is each word covered by a window of words that also starts in a document with a smaller id.
     """
     spark = df.sparkSession
-    plain = df.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    plain = df.select(named(id_col).cast("bigint").alias("doc_id"), named(text_col).cast("binary").alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(tasks, 4 * -(-size // (4 * GROUP_BYTES)))
