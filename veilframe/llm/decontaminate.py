@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.shared import chunks, documents, materialize
+from veilframe.llm.shared import chunks, documents, free_names, materialize, named
 
 #: Bytes of words: digits, letters (to lower case) and everything outside ASCII; the rest separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -114,8 +114,8 @@ def joined_hits(plain: DataFrame, items: DataFrame, width: int) -> DataFrame:
 def benchmark_hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_cols: list[str] | None = None, width: int = 10, max_index_bytes: int = 64 << 20) -> DataFrame:
     """One row per row of df: keep_cols (default: all) and the struct _hits."""
     cols = keep_cols if keep_cols is not None else df.columns
-    plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], F.col(f"`{text_col}`").cast("binary").alias("_text"))
-    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("_item"), F.col(f"`{item_text_col}`").cast("binary").alias("_text"))
+    plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)], named(text_col).cast("binary").alias("_text"))
+    items = benchmark.select(named(item_col).cast("string").alias("_item"), named(item_text_col).cast("binary").alias("_text"))
     size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     if size > max_index_bytes:
         out = joined_hits(plain, items, width)
@@ -132,7 +132,7 @@ def benchmark_hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     yield kept.append_column("_hits", pa.array(hits, type=pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])))
 
         out = plain.mapInArrow(scan, plain.drop("_text").schema.add("_hits", T.StructType.fromDDL(HITS)))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], "_hits")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], F.col("_hits").alias(*free_names(cols, "_hits")))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.shared import chunks, documents
+from veilframe.llm.shared import chunks, documents, free_names, named
 
 BUCKET_BITS = 14
 #: Odd multipliers, one for each position in an n-gram, and one that separates the lengths.
@@ -119,7 +119,7 @@ def held_out(id_column: Column) -> Column:
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = 250) -> Model:
     """Fit on rows that are not held out and have a language."""
-    plain = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("lang")).filter("id IS NOT NULL AND lang IS NOT NULL AND _text IS NOT NULL").filter(~held_out(F.col("id")))
+    plain = df.select(named(id_col).alias("id"), named(text_col).alias("_text"), named(lang_col).alias("lang")).filter("id IS NOT NULL AND lang IS NOT NULL AND _text IS NOT NULL").filter(~held_out(F.col("id")))
     counts = {r["lang"]: r["count"] for r in plain.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return fit([])
@@ -145,7 +145,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep_cols: list
     from pyspark.sql import types as T
 
     cols = keep_cols if keep_cols is not None else df.columns
-    plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], F.col(f"`{text_col}`").alias("_text"))
+    plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)], named(text_col).alias("_text"))
     shipped = df.sparkSession.sparkContext.broadcast(model)  # languages x bits x 2**BUCKET_BITS numbers, whatever the corpus
     struct = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
@@ -155,7 +155,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", keep_cols: list
             yield batch.select([c for c in batch.schema.names if c != "_text"]).append_column("_language", pa.array(found, type=struct))
 
     out = plain.mapInArrow(score, T.StructType([*plain.drop("_text").schema, T.StructField("_language", T.StructType.fromDDL(RESULT))]))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], "_language")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], F.col("_language").alias(*free_names(cols, "_language")))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm import bpe
-from veilframe.llm.shared import chunks, documents, materialize
+from veilframe.llm.shared import chunks, documents, materialize, named
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -44,7 +44,7 @@ def cuts(n: int, capacity: int) -> list[int]:
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_path: str | None = None) -> DataFrame:
-    plain = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    plain = df.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("_text"))
 
     def cut(batches):
         encode = bpe.load(tokenizer_path).ids

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.shared import chunks, documents
+from veilframe.llm.shared import chunks, documents, free_names, named
 
 HASH_BITS = 24
 #: Letters make words, other visible characters make marks.
@@ -120,7 +120,7 @@ def held_out(id_column: Column) -> Column:
 
 def train(rated: DataFrame, grades: int, text_col: str = "text", grade_col: str = "grade", id_col: str = "doc_id", sample: int = 8000) -> Model:
     """Fit on the rows of rated that are not held out and have an id and a grade from 0 to grades - 1."""
-    plain = rated.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"), F.col(f"`{grade_col}`").cast("int").alias("grade")).filter(F.col("id").isNotNull() & F.col("grade").between(0, grades - 1)).filter(~held_out(F.col("id")))
+    plain = rated.select(named(id_col).alias("id"), F.coalesce(named(text_col), F.lit("")).alias("_text"), named(grade_col).cast("int").alias("grade")).filter(F.col("id").isNotNull() & F.col("grade").between(0, grades - 1)).filter(~held_out(F.col("id")))
     total = plain.count()
     drawn = plain.filter(F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(1_000_003)) < int(min(1.0, sample / max(total, 1)) * 1_000_003))
 
@@ -139,7 +139,7 @@ def train(rated: DataFrame, grades: int, text_col: str = "text", grade_col: str
 def classify(df: DataFrame, model: Model, keep_grade: int, least: float = 0.4, text_col: str = "text", keep_cols: list[str] | None = None) -> DataFrame:
     """keep_cols (default: all) and the struct _quality: expected grade, P(grade >= keep_grade), whether that is at least `least`."""
     cols = keep_cols if keep_cols is not None else df.columns
-    plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], F.col(f"`{text_col}`").alias("_text"))
+    plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)], named(text_col).alias("_text"))
     shipped = df.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     struct = pa.struct([("expected_grade", pa.float64()), ("tail_prob", pa.float64()), ("kept", pa.bool_())])
 
@@ -149,7 +149,7 @@ def classify(df: DataFrame, model: Model, keep_grade: int, least: float = 0.4, t
             yield batch.select([c for c in batch.schema.names if c != "_text"]).append_column("_quality", pa.array(found, type=struct))
 
     out = plain.mapInArrow(score, T.StructType([*plain.drop("_text").schema, T.StructField("_quality", T.StructType.fromDDL(RESULT))]))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], "_quality")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], F.col("_quality").alias(*free_names(cols, "_quality")))
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:

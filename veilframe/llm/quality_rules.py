@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.shared import materialize, words
+from veilframe.llm.shared import free_names, materialize, named, words
 
 #: Frequent function words of the supported languages: prose has several of them.
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "de", "la", "le", "et", "les", "des", "en", "un", "que", "el", "y", "los", "der", "die", "und", "das", "ist", "nicht", "ein")
@@ -138,10 +138,11 @@ def quality_rules(df: DataFrame, text_col: str = "text", keep_cols: list[str] |
     """One row per row of df: keep_cols (default: all), the struct _f of counts, base_failed, p_good and kept.
 
     The counted rows are written once to the shared folder, so the texts are read once for both the estimate and the
-    verdict. With the text among keep_cols it is written along.
+    verdict. With the text among keep_cols it is written along. A result whose name is taken by a kept column gets an
+    underscore after it; results come last, in this order.
     """
     cols = keep_cols if keep_cols is not None else df.columns
-    plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], F.col(f"`{text_col}`").alias("_text"))
+    plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)], named(text_col).alias("_text"))
     votes = F.struct(*[_vote(*rule()).alias(k) for k, rule in RULES.items()])
     counted = with_features(plain, F.col("_text")).drop("_text").withColumn("_v", votes)
     counted = materialize(counted, "rules")
@@ -150,7 +151,9 @@ def quality_rules(df: DataFrame, text_col: str = "text", keep_cols: list[str] |
     failed = (_f("n_words") < 10) | (F.lit(100) * _f("n_repeat_words") > F.lit(20) * _f("n_words"))
     p_good = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.log_odds(F.col("_v"))))
     out = counted.withColumn("_p", p_good)
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], F.col("_f"), failed.alias("base_failed"), F.col("_p").alias("p_good"), (~failed & (F.col("_p") >= threshold)).alias("kept"))
+    results = (F.col("_f"), failed, F.col("_p"), ~failed & (F.col("_p") >= threshold))
+    names = free_names(cols, "_f", "base_failed", "p_good", "kept")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], *[r.alias(n) for r, n in zip(results, names, strict=True)])
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.shared import documents, materialize
+from veilframe.llm.shared import documents, free_names, materialize, named
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -84,12 +84,12 @@ def scan_secrets(df: DataFrame, text_col: str = "text", owner_col: str = "source
     """One row per row of df: keep_cols (default: all), _base and _spans (all reported spans), n_live and n_copied.
 
     n_live and n_copied count the candidates of the row whose hash few, or many, owners hold. A repository is the
-    combination of repository_cols.
+    combination of repository_cols. A result whose name is taken by a kept column gets an underscore after it.
     """
     cols = keep_cols if keep_cols is not None else df.columns
-    owner = F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("\0"))
-    repository = F.to_json(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(repository_cols)]))
-    plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], owner.alias("_o"), repository.alias("_r"), F.col(f"`{text_col}`").alias("_text"))
+    owner = F.coalesce(named(owner_col).cast("string"), F.lit("\0"))
+    repository = F.to_json(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(repository_cols)]))
+    plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)], owner.alias("_o"), repository.alias("_r"), named(text_col).alias("_text"))
     hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["s"], x["k"], x["e"], F.unhex(F.sha2(x["v"].cast("binary"), 256)).alias("h")))
     found = with_spans(plain, F.col("_text")).drop("_text").withColumns({"_base": hashed(F.col("_base")), "_more": hashed(F.col("_more"))})
     found = materialize(found.withColumn("_id", F.monotonically_increasing_id()), "secrets")
@@ -102,7 +102,9 @@ def scan_secrets(df: DataFrame, text_col: str = "text", owner_col: str = "source
     )
     out = found.drop("_o", "_r", "_more").join(per_row, "_id", "left")
     spans = F.array_sort(F.concat("_base", F.coalesce("_add", F.array().cast("array<struct<s:int,k:int,e:int,h:binary>>"))))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], F.col("_base"), spans.alias("_spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    results = (F.col("_base"), spans, F.coalesce("n_live", F.lit(0)), F.coalesce("n_copied", F.lit(0)))
+    names = free_names(cols, "_base", "_spans", "n_live", "n_copied")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], *[r.alias(n) for r, n in zip(results, names, strict=True)])
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
@@ -111,7 +113,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
     Rows without any candidate pass through in place; only the others are written and joined with the verdicts.
     """
     cols = df.columns
-    plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)])
+    plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)])
     at = f"_c{cols.index(text_col)}"
     any_candidate = F.coalesce(F.col(at).rlike("|".join((ASSIGN, ACCESS_LONG, HEX_LONG, OPAQUE))), F.lit(False))
     renamed = {k: tuple(f"_c{cols.index(c)}" for c in v) if isinstance(v, tuple) else f"_c{cols.index(v)}" for k, v in {"owner_col": options.pop("owner_col", "source"), "repository_cols": options.pop("repository_cols", ("source", "lang"))}.items()}

@@ -45,12 +45,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """wanted, with underscores until it clashes with no column of df (names compare without case)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+def named(column: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_names(cols: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores until it clashes with none of cols (names compare without case)."""
+    taken = {c.lower() for c in cols}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def chunks(batch, column: str, most: int = 8 << 20):

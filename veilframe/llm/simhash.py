@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.components import connected_components
-from veilframe.llm.shared import chunks, documents, materialize
+from veilframe.llm.shared import chunks, documents, materialize, named
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -201,7 +201,7 @@ def _components(rows: DataFrame, radius: int, first: Column) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row per row of df: doc_id, fingerprint (16 hex digits), component_id (least doc_id that links reach)."""
-    plain = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("_text"))
+    plain = df.select(named(id_col).alias("doc_id"), named(text_col).alias("_text"))
     rows = materialize(with_fingerprints(plain, "_text", shingle), "simhash")
     out = rows.join(_components(rows, radius, F.col("doc_id")).hint("merge"), "_fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_first").alias("component_id"))
@@ -210,7 +210,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """df with one row of each component: that of the least id, null ids last, the first stored among equal ids."""
     cols = df.columns
-    plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)])
+    plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)])
     at, key = (f"_c{cols.index(c)}" for c in (text_col, id_col))
     stored = materialize(with_fingerprints(plain.withColumn("_text", F.col(at)), "_text", shingle).withColumn("_row", F.monotonically_increasing_id()), "simhash")
     first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.shared import chunks, documents
+from veilframe.llm.shared import chunks, documents, free_names, named
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -121,7 +121,7 @@ def load(path: str | None) -> Vocabulary:
 def token_counts(df: DataFrame, text_col: str = "text", keep_cols: list[str] | None = None, vocabulary_path: str | None = None) -> DataFrame:
     """keep_cols (default: all) and the struct _tokens of count and score of the best path."""
     cols = keep_cols if keep_cols is not None else df.columns
-    plain = df.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(cols)], F.col(f"`{text_col}`").alias("_text"))
+    plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)], named(text_col).alias("_text"))
     struct = pa.struct([("n_tokens", pa.int64()), ("score", pa.float64())])
 
     def count(batches):
@@ -132,7 +132,7 @@ def token_counts(df: DataFrame, text_col: str = "text", keep_cols: list[str] | N
                 yield part.select([c for c in part.schema.names if c != "_text"]).append_column("_tokens", pa.array(found, type=struct))
 
     out = plain.mapInArrow(count, T.StructType([*plain.drop("_text").schema, T.StructField("_tokens", T.StructType.fromDDL(RESULT))]))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], "_tokens")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], F.col("_tokens").alias(*free_names(cols, "_tokens")))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.shared import chunks, materialize, new_path
+from veilframe.llm.shared import chunks, materialize, named, new_path
 
 #: An empty gzip member, as the separator of members.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
@@ -87,7 +87,7 @@ def _captured(page: int | None) -> str:
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 1000) -> None:
     """Write one record per row of pages under path; part files are .warc.gz archives by content."""
-    plain = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("page"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).cast("binary").alias("body"))
+    plain = pages.select(named(id_col).cast("bigint").alias("page"), F.coalesce(named(url_col), F.lit("")).alias("url"), F.coalesce(named(html_col), F.lit("")).cast("binary").alias("body"))
     digest = F.sha1("body").alias("digest")
     groups = plain.filter(F.octet_length("body") >= least).select("page", digest).groupBy("digest").agg(F.max("page").alias("winner"), F.count("*").alias("n")).filter("n > 1").select("digest", "winner")
 
