@@ -59,30 +59,34 @@ class Vocabulary:
         self.remembered = remembered
 
     def search(self, text: str) -> tuple[int, float]:
-        """Tokens and score of the best path through text."""
-        n = len(text)
-        score: list[float | None] = [None] * (n + 1)
-        count, open_unknown = [0] * (n + 1), [False] * (n + 1)
-        score[0] = 0.0
-        ends: list[list] = [[] for _ in range(n + 1)] if not self.empty else []
-        for end, (length, s) in self.automaton.iter(text) if not self.empty else ():
-            ends[end + 1].append((end + 1 - length, s))
-        for end in range(1, n + 1):
-            found = sorted(ends[end]) if ends else []
-            c = text[end - 1]
-            if c not in self.single:
-                found.append((end - 1, None))
-            for start, s in found:
-                value = score[start] + (self.unknown if s is None else s)
-                if score[end] is None or value > score[end]:
-                    score[end] = value
-                    open_unknown[end] = s is None
-                    if s is not None:
-                        count[end] = count[start] + 1
-                    elif self.byte_pieces:
-                        count[end] = count[start] + len(c.encode("utf-8", "surrogatepass"))
-                    else:
-                        count[end] = count[start] + (not open_unknown[start])
+        """Tokens and score of the best path through text.
+
+        The automaton gives matches by their ends, longest first. A position is closed, with the step for an unknown
+        character, before any match is tried that could start there.
+        """
+        n, nothing = len(text), float("-inf")
+        score, count, open_unknown = [0.0] + [nothing] * n, [0] * (n + 1), bytearray(n + 1)
+        covered = self.single.issuperset(text)  # then every step has a piece of its own
+        closed = 0
+
+        def close(until: int) -> None:
+            for p in range(closed + 1, until + 1):
+                c = text[p - 1]
+                if c not in self.single and score[p - 1] + self.unknown > score[p]:
+                    score[p] = score[p - 1] + self.unknown
+                    count[p] = count[p - 1] + (len(c.encode("utf-8", "surrogatepass")) if self.byte_pieces else not open_unknown[p - 1])
+                    open_unknown[p] = 1
+
+        for last, (length, s) in self.automaton.iter(text) if not self.empty else ():
+            if not covered and last > closed:
+                close(last)
+                closed = last
+            end = last + 1
+            value = score[end - length] + s
+            if value > score[end]:
+                score[end], count[end] = value, count[end - length] + 1
+        if not covered:
+            close(n)
         return count[n], score[n]
 
     def count(self, text: str | None) -> tuple[int, float]:
