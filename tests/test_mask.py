@@ -104,3 +104,13 @@ def test_mapping_file(spark, tmp_path):
     path.write_text("{ not json")
     with pytest.raises(Exception):
         M.load_mapping(spark, str(path)).collect()
+
+
+def test_missing_and_repeated_keys_leak_nothing(spark):
+    rows = [(None, "a@b.com"), (None, "x c@d.com"), (1, "y e@f.org a@b.com"), (1, "e@f.org"), (1, "e@f.org"), (None, None), (2, "plain")]
+    m = mask(spark.createDataFrame(rows, "id bigint, text string"), "text", "id", mapping=None)
+    got = [(r["id"], r["masked"], r["n_masked"]) for r in m.df.collect()]
+    assert len(got) == len(rows) and not any("@" in (t or "") for _, t, _ in got)
+    back = restore(m.df.select("id", "masked"), "masked", "id", m.mapping).collect()
+    assert sorted(((r["id"], r["restored"]) for r in back), key=str) == sorted(rows, key=str)
+    assert has_restorable(m.df.select("id", "masked"), "masked", "id", m.mapping).filter("restorable").count() == 5

@@ -88,7 +88,7 @@ def mint(seen: DataFrame, mapping: DataFrame, steps: int = 64) -> DataFrame:
     cuts = fresh.agg(F.percentile_approx("first.ord", [i / steps for i in range(1, steps)])).first()[0] or []
     stretch = F.lit(0)
     for cut in sorted(set(cuts)):
-        stretch = stretch + (F.col("first.ord") > cut).cast("int")
+        stretch = stretch + F.coalesce(F.col("first.ord") > cut, F.lit(False)).cast("int")  # a missing order comes first
     fresh = fresh.withColumn("stretch", stretch)
     earlier = fresh.groupBy("kind_ord", "stretch").count()
     earlier = earlier.select("kind_ord", "stretch", (F.sum("count").over(Window.partitionBy("kind_ord").orderBy("stretch")) - F.col("count")).alias("earlier"))

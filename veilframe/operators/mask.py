@@ -46,22 +46,29 @@ def _reported(pieces: Column) -> Column:
     return F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("placeholder"), F.get(F.filter(pieces, lambda p: p["put"] == n), F.lit(0))["kind"].alias("kind")))
 
 
+def _with_pieces(df: DataFrame, pieces: DataFrame, key: str, text_col: str) -> DataFrame:
+    """df with what its rows found, by key and text."""
+    same = df[key].eqNullSafe(pieces["_key"]) & (F.xxhash64(df[text_col]) == pieces["_hash"])
+    return df.join(pieces, same, "left").drop("_key", "_hash")
+
+
 def mask(df: DataFrame, text_col: str, key: str, order_col: str | None = None, settings: Settings | None = None, mapping: DataFrame | None = None) -> Masked:
-    """Mask a column of texts. key identifies a row; order_col (default: key), a number, is the order in which values count as first seen.
+    """Mask a column of texts. order_col (default: key), a number, is the order in which values count as first seen.
 
-    Only values travel: the new ones by value for their numbers, then each row's with its key; a row without a match
-    never leaves its place but for the last join, which is on the rows that have any.
+    Only values travel: the new ones by value for their numbers, then each row's with its key. The last join is on the
+    key and a hash of the text, nulls included, so that a missing or repeated key can neither leave a text unmasked nor
+    mix two texts; rows that repeat another share its matches.
     """
     spark = df.sparkSession
     known = mapping if mapping is not None else M.empty_mapping(spark)
     order_col = order_col or key
-    found = df.select(F.col(key).alias("_key"), F.col(order_col).alias("ord"), F.posexplode(detect(F.col(text_col), settings)).alias("pos", "m"))
-    found = found.select("_key", "ord", "pos", F.col("m.start").alias("start"), (F.col("m.start") - F.col("m.neg_length")).alias("end"), F.col("m.kind_ord").alias("kind_ord"), F.col("m.value").alias("value")).persist()
+    found = df.select(F.col(key).alias("_key"), F.xxhash64(text_col).alias("_hash"), F.col(order_col).alias("ord"), F.posexplode(detect(F.col(text_col), settings)).alias("pos", "m"))
+    found = found.select("_key", "_hash", "ord", "pos", F.col("m.start").alias("start"), (F.col("m.start") - F.col("m.neg_length")).alias("end"), F.col("m.kind_ord").alias("kind_ord"), F.col("m.value").alias("value")).persist()
     fresh = M.mint(found, known).persist()
     total = M.remember(known, fresh)
     piece = F.struct("pos", "start", "end", kind_name(F.col("kind_ord")).alias("kind"), F.col("placeholder").alias("put"))
-    pieces = found.join(M.by_value(total), "value").groupBy("_key").agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
-    out = df.join(pieces, df[key] == pieces["_key"], "left").drop("_key")
+    pieces = found.join(M.by_value(total), "value").groupBy("_key", "_hash").agg(F.array_sort(F.collect_set(piece)).alias("_pieces"))
+    out = _with_pieces(df, pieces, key, text_col)
     none = F.array().cast("array<struct<pos:int,start:int,end:int,kind:string,put:string>>")
     out = out.withColumn("_pieces", F.coalesce("_pieces", none))
     out = out.withColumn("masked", F.when(F.size("_pieces") == 0, F.col(text_col)).otherwise(splice(F.col(text_col), F.col("_pieces")))).withColumn("report", _reported(F.col("_pieces")))
@@ -75,20 +82,20 @@ def placeholders(text: Column) -> Column:
 
 def restore(df: DataFrame, text_col: str, key: str, mapping: DataFrame) -> DataFrame:
     """df with restored (known placeholders give way to their values) and n_restored, the number of places."""
-    found = df.select(F.col(key).alias("_key"), F.posexplode(placeholders(F.col(text_col))).alias("pos", "m"))
-    found = found.select("_key", "pos", F.col("m.start").alias("start"), (F.col("m.start") - F.col("m.neg_length")).alias("end"), F.col("m.value").alias("placeholder"))
+    found = df.select(F.col(key).alias("_key"), F.xxhash64(text_col).alias("_hash"), F.posexplode(placeholders(F.col(text_col))).alias("pos", "m"))
+    found = found.select("_key", "_hash", "pos", F.col("m.start").alias("start"), (F.col("m.start") - F.col("m.neg_length")).alias("end"), F.col("m.value").alias("placeholder"))
     piece = F.struct("pos", "start", "end", F.col("value").alias("put"))
-    pieces = found.join(mapping.select("placeholder", "value"), "placeholder").groupBy("_key").agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
-    out = df.join(pieces, df[key] == pieces["_key"], "left").drop("_key")
+    pieces = found.join(mapping.select("placeholder", "value"), "placeholder").groupBy("_key", "_hash").agg(F.array_sort(F.collect_set(piece)).alias("_pieces"))
+    out = _with_pieces(df, pieces, key, text_col)
     count = F.when(F.col(text_col).isNotNull(), F.coalesce(F.size("_pieces"), F.lit(0)))
     return out.withColumn("restored", F.when(F.col("_pieces").isNull(), F.col(text_col)).otherwise(splice(F.col(text_col), F.col("_pieces")))).withColumn("n_restored", F.when(F.col("_pieces").isNull() & F.col(text_col).isNotNull(), 0).otherwise(count)).drop("_pieces")
 
 
 def has_restorable(df: DataFrame, text_col: str, key: str, mapping: DataFrame) -> DataFrame:
     """df with restorable: whether a known placeholder is in the text."""
-    found = df.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PLACEHOLDER_IN_TEXT), F.lit(0)))).alias("placeholder"))
-    hits = found.join(mapping.select("placeholder"), "placeholder", "left_semi").select("_key").distinct().withColumn("restorable", F.lit(True))
-    return df.join(hits, df[key] == hits["_key"], "left").drop("_key").withColumn("restorable", F.coalesce("restorable", F.lit(False)))
+    found = df.select(F.col(key).alias("_key"), F.xxhash64(text_col).alias("_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PLACEHOLDER_IN_TEXT), F.lit(0)))).alias("placeholder"))
+    hits = found.join(mapping.select("placeholder"), "placeholder", "left_semi").select("_key", "_hash").distinct().withColumn("restorable", F.lit(True))
+    return _with_pieces(df, hits, key, text_col).withColumn("restorable", F.coalesce("restorable", F.lit(False)))
 
 
 def edit(text: Column, old: Column, new: Column) -> Column:
