@@ -29,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.shared import documents, named
@@ -233,6 +233,17 @@ def _within(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
 
 
+def _even(spark: SparkSession, groups: int, tasks: int, most: int = 1 << 14) -> list[int]:
+    """Names for so many groups that a hash deals evenly to so many tasks; none for so many that chance is even enough."""
+    if groups > most:
+        return []
+    drawn = spark.range(16 * groups + 64 * tasks).select(F.col("id").cast("int").alias("g")).select("g", F.pmod(F.hash("g"), F.lit(tasks)).alias("task"))
+    found: dict[int, list[int]] = {}
+    for r in drawn.collect():  # bounded by `most`
+        found.setdefault(r["task"], []).append(r["g"])
+    return [found[i % tasks][i // tasks] for i in range(groups)]
+
+
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, rounds: int = ROUNDS, phrase: int = PHRASE) -> DataFrame:
     """One row per row of df: doc_id, n_words, removed (word ranges [start, end)), kept_text (kept words joined by a space).
 
@@ -244,7 +255,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(tasks, 4 * -(-size // (4 * GROUP_BYTES)))
     buckets = max(4 * tasks, -(-2 * size // BUCKET_BYTES))
-    dealt = plain.withColumn("g", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int")).repartition(tasks, "g")
+    number = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int")
+    dealt = plain.withColumn("g", F.get(F.array(*map(F.lit, even)), number) if (even := _even(spark, groups, tasks)) else number).repartition(tasks, "g")
 
     def opened(table: pa.Table) -> Group:
         return Group(table.column("text").to_pylist(), table.column("doc_id").to_pylist())
