@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.shared import free_names, materialize, named, words
+from veilframe.llm.shared import documents, free_names, materialize, named, words
 
 #: Frequent function words of the supported languages: prose has several of them.
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "for", "de", "la", "le", "et", "les", "des", "en", "un", "que", "el", "y", "los", "der", "die", "und", "das", "ist", "nicht", "ein")
@@ -148,7 +148,7 @@ def quality_rules(df: DataFrame, text_col: str = "text", keep_cols: list[str] |
     counted = materialize(counted, "rules")
     grouped = counted.groupBy("_v").count().collect()  # at most 3 ** len(RULES) rows
     model = estimate(sorted((tuple(r["_v"]), r["count"]) for r in grouped))
-    failed = (_f("n_words") < 10) | (F.lit(100) * _f("n_repeat_words") > F.lit(20) * _f("n_words"))
+    failed = _base_failed()
     p_good = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.log_odds(F.col("_v"))))
     out = counted.withColumn("_p", p_good)
     results = (F.col("_f"), failed, F.col("_p"), ~failed & (F.col("_p") >= threshold))
@@ -156,8 +156,33 @@ def quality_rules(df: DataFrame, text_col: str = "text", keep_cols: list[str] |
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], *[r.alias(n) for r, n in zip(results, names, strict=True)])
 
 
-def op9(spark, sf_dir: str) -> DataFrame:
-    from veilframe.llm.shared import documents
+def _base_failed() -> Column:
+    return (_f("n_words") < 10) | (F.lit(100) * _f("n_repeat_words") > F.lit(20) * _f("n_words"))
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def base_counts(spark, sf_dir: str) -> DataFrame:
+    """What op9 counts before any rule votes."""
+    docs = documents(spark, sf_dir)
+    return with_features(docs.select("doc_id", "text"), F.col("text")).select("doc_id", *[_f(k).alias(k) for k in BASE], _base_failed().alias("base_failed"))
 
+
+#: SQL for the counts; the verdict needs the estimate, which SQL can't make.
+BASE_ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, k FROM win GROUP BY ALL HAVING count(*) > 1),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (doc_id, k)) GROUP BY doc_id),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  n_words < 10 OR 100 * coalesce(n, 0) > 20 * n_words AS base_failed
+FROM c LEFT JOIN hit USING (doc_id)
+"""
+
+
+def op9(spark, sf_dir: str) -> DataFrame:
     out = quality_rules(documents(spark, sf_dir), keep_cols=["doc_id"])
-    return out.select("doc_id", *[_f(k).alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+    return out.select("doc_id", *[_f(k).alias(k) for k in BASE], "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
