@@ -61,9 +61,11 @@ class Detector:
     pattern: str
     ignore_case: bool = False
     group: int = 0
+    #: What the first character of a match must be; asked before a word boundary, which costs the JVM far more.
+    first: str = ""
 
     def java(self) -> str:
-        return ("(?iU)" if self.ignore_case else "(?U)") + self.pattern
+        return ("(?iU)" if self.ignore_case else "(?U)") + (f"(?={self.first})" if self.first else "") + self.pattern
 
     def python(self) -> str:
         spelled = self.pattern.replace(r"[^\s", "[^" + SPACE_CLASS).replace(r"\S", f"[^{SPACE_CLASS}]").replace(r"\s", f"[{SPACE_CLASS}]")
@@ -74,14 +76,14 @@ def detectors(settings: Settings) -> list[Detector]:
     """The detectors that run under these settings."""
     found = [
         Detector("custom_word", "custom_word", custom_words(settings.words), ignore_case=True) if settings.words else None,
-        Detector("labelled_password", "password", labelled_password(), ignore_case=True, group=2),
+        Detector("labelled_password", "password", labelled_password(), ignore_case=True, group=2, first=f"[{''.join(sorted({w[0] for w in LABELS}))}]"),
         Detector("credential", "password", CREDENTIAL),
-        Detector("iban", "iban", IBAN),
-        Detector("credit_card", "credit_card", CARD),
-        Detector("national_id", "national_id", NATIONAL_ID),
+        Detector("iban", "iban", IBAN, first="T"),
+        Detector("credit_card", "credit_card", CARD, first=r"\d"),
+        Detector("national_id", "national_id", NATIONAL_ID, first="[1-9]"),
         Detector("email", "email", EMAIL),
         Detector("phone_international", "phone", PHONE_INTERNATIONAL),
-        Detector("phone", "phone", PHONE),
-        Detector("person_name", "person_name", PERSON_NAME),
+        Detector("phone", "phone", PHONE, first="[+0(2-5]"),
+        Detector("person_name", "person_name", PERSON_NAME, first="[A-ZÇĞİÖŞÜ]"),
     ]
     return [d for d in found if d and settings.on(d.kind)]

@@ -11,7 +11,10 @@ from veilframe.functions.validators import ISOLATED, VALID, digit_isolated, is_p
 from veilframe.kinds import BY_NAME, KINDS, Settings
 
 #: A text that fails its detector's filter has no match; these are far cheaper than the patterns.
+_SPECIAL = "[" + "".join("\\" + c for c in P.CREDENTIAL_SPECIALS) + "]"
+_RUN = r"""[^\s:=,;|"'<>]"""
 _WORTH = {
+    "credential": lambda t: t.rlike(f"[0-9]{_RUN}*?{_SPECIAL}|{_SPECIAL}{_RUN}*?[0-9]"),
     "email": lambda t: F.contains(t, F.lit("@")),
     "iban": lambda t: F.contains(t, F.lit("TR")),
     "credit_card": lambda t: t.rlike(r"(?U)\d[ \-]?\d[ \-]?\d[ \-]?\d"),
@@ -20,11 +23,9 @@ _WORTH = {
     "phone_international": lambda t: t.rlike(r"(?U)\+\d"),
     "labelled_password": lambda t: t.rlike(r"[:=\-]"),
 }
-_RUN = r"""[^\s:=,;|"'<>]"""
-_SPECIAL = "[" + "".join("\\" + c for c in P.CREDENTIAL_SPECIALS) + "]"
 #: The credential pattern takes whole runs, and a run that fails consumes nothing else; so what makes a run acceptable
 #: can be asked before it is taken, which spares a list of all long words.
-_CREDENTIAL = rf"(?U)(?<!{_RUN})(?={_RUN}*?[0-9])(?={_RUN}*?{_SPECIAL}){_RUN}{{6,}}+"
+_CREDENTIAL = rf"(?U)(?={_RUN})(?<!{_RUN})(?={_RUN}*?[0-9])(?={_RUN}*?{_SPECIAL}){_RUN}{{6,}}+"
 
 
 def candidates(text: Column, detector: P.Detector) -> Column:

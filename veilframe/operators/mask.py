@@ -24,6 +24,12 @@ class Masked:
     df: DataFrame
     mapping: DataFrame
     fresh: DataFrame
+    cached: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Drop what was cached on the way; call it when the results have been written."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def splice(text: Column, pieces: Column) -> Column:
@@ -72,7 +78,7 @@ def mask(df: DataFrame, text_col: str, key: str, order_col: str | None = None, s
     none = F.array().cast("array<struct<pos:int,start:int,end:int,kind:string,put:string>>")
     out = out.withColumn("_pieces", F.coalesce("_pieces", none))
     out = out.withColumn("masked", F.when(F.size("_pieces") == 0, F.col(text_col)).otherwise(splice(F.col(text_col), F.col("_pieces")))).withColumn("report", _reported(F.col("_pieces")))
-    return Masked(out.drop("_pieces").withColumn("n_masked", F.size("report")).withColumn("summary", summary(F.col("report"))), total, fresh)
+    return Masked(out.drop("_pieces").withColumn("n_masked", F.size("report")).withColumn("summary", summary(F.col("report"))), total, fresh, (found, fresh))
 
 
 def placeholders(text: Column) -> Column:

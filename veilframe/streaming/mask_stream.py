@@ -34,5 +34,6 @@ def mask_stream(stream: DataFrame, text_col: str, key: str, order_col: str, mapp
         done = mask(batch, text_col, key, order_col, settings, known_before(spark, mapping_path, batch_id))
         done.fresh.write.mode("overwrite").parquet(f"{mapping_path}/{BATCH}={batch_id}")
         done.df.drop(text_col).write.mode("overwrite").parquet(f"{output_path}/{BATCH}={batch_id}")
+        done.release()
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
