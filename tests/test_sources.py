@@ -1,10 +1,12 @@
 import io
+import os
 import zipfile
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.operators.files import mask_files
 from veilframe.sources import documents, formats, ocr, ooxml, pdf
 
 CORE = "<w:document xmlns:w='x'><w:body><w:p w:rsidR=\"10000000146\"><w:r><w:t>Kurulum Notu</w:t></w:r></w:p>\n  <w:p><w:t xml:space=\"preserve\">parola: &quot;x&quot; &amp; y</w:t></w:p><!-- 10000000146 <w:t> --><![CDATA[raw <b>]]></w:body></w:document>"
@@ -81,3 +83,17 @@ def test_read_documents(spark, tmp_path):
     assert all(rows[x]["text"] is None and rows[x]["error"] for x in ("bad.txt", "broken.docx", "e.png"))
     limited = {r["path"].rpartition("/")[2]: r["error"] for r in documents.read_documents(spark, str(tmp_path), max_bytes=15).collect()}
     assert limited["b.csv"] == "file exceeds the size limit" and limited["a.txt"] is None
+
+
+def test_folders_are_masked(spark, tmp_path):
+
+
+    for i, (name, data) in enumerate({"z.txt": b"a@b.com", "a.csv": b"c@d.com,a@b.com", "d.docx": DOCX, "plain.md": b"nothing", "bad.pdf": b"no pdf", "s.pdf": pdf_file("1")}.items()):
+        (tmp_path / name).write_bytes(data)
+        os.utime(tmp_path / name, (1_700_000_000 + i, 1_700_000_000 + i))
+    done = mask_files(spark, str(tmp_path))
+    rows = {r["path"].rpartition("/")[2]: r for r in done.df.collect()}
+    assert rows["z.txt"]["masked"] == "EPOSTA_1" and rows["a.csv"]["masked"] == "EPOSTA_2,EPOSTA_1"
+    assert rows["a.csv"]["note"] == "\n\n(2 masked: 2 EPOSTA)" and rows["plain.md"]["note"].endswith("(no sensitive values found)")
+    assert rows["bad.pdf"]["error"] and rows["bad.pdf"]["note"] is None and "WARNING" in rows["s.pdf"]["masked"]
+    done.release()
