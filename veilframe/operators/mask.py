@@ -73,7 +73,10 @@ def mask(df: DataFrame, text_col: str, key: str, order_col: str | None = None, s
     fresh = M.mint(found, known).persist()
     total = M.remember(known, fresh)
     piece = F.struct("pos", "start", "end", kind_name(F.col("kind_ord")).alias("kind"), F.col("placeholder").alias("put"))
-    pieces = found.join(M.by_value(total), "value").groupBy("_key", "_hash").agg(F.array_sort(F.collect_set(piece)).alias("_pieces"))
+    # Only the older table can hold a value twice. The union is dealt out for the join like the matches are, so that
+    # adaptive execution can split a value that is in a large share of them.
+    placeholder = M.by_value(known).unionByName(fresh.select("value", "placeholder"))
+    pieces = found.join(placeholder, "value").groupBy("_key", "_hash").agg(F.array_sort(F.collect_set(piece)).alias("_pieces"))
     out = _with_pieces(df, pieces, key, text_col)
     none = F.array().cast("array<struct<pos:int,start:int,end:int,kind:string,put:string>>")
     out = out.withColumn("_pieces", F.coalesce("_pieces", none))
