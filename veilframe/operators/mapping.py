@@ -76,27 +76,28 @@ def by_value(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("value").agg(F.min_by("placeholder", F.struct(F.coalesce("idx", F.lit(2**62)), "placeholder")).alias("placeholder"))
 
 
-def mint(seen: DataFrame, mapping: DataFrame, steps: int = 64) -> DataFrame:
+def mint(seen: DataFrame, mapping: DataFrame, cached: list[DataFrame] | None = None) -> DataFrame:
     """New rows of the mapping for the values of seen (value, kind_ord, ord, start) that it lacks.
 
-    Numbering per kind has few, unequal groups, so a value's number is put together: the values of its kind in earlier
-    stretches of the order, plus its place in its own stretch. Stretches are cut at approximate quantiles.
+    Numbering per kind has few, unequal groups, so the values are dealt into ranges of their order, and a number is put
+    together: the values of its kind in earlier ranges, plus its place in its own. Which range a row is in must not
+    change between the two, so the ranges are stored, and appended to `cached` for the caller to release.
     """
+    spark = seen.sparkSession
     place = F.struct("ord", "start")
     first = seen.groupBy("value").agg(F.min_by("kind_ord", place).alias("kind_ord"), F.min(place).alias("first"))
     fresh = first.join(mapping.select("value").distinct(), "value", "left_anti")
-    cuts = fresh.agg(F.percentile_approx("first.ord", [i / steps for i in range(1, steps)])).first()[0] or []
-    stretch = F.lit(0)
-    for cut in sorted(set(cuts)):
-        stretch = stretch + F.coalesce(F.col("first.ord") > cut, F.lit(False)).cast("int")  # a missing order comes first
-    fresh = fresh.withColumn("stretch", stretch)
-    earlier = fresh.groupBy("kind_ord", "stretch").count()
-    earlier = earlier.select("kind_ord", "stretch", (F.sum("count").over(Window.partitionBy("kind_ord").orderBy("stretch")) - F.col("count")).alias("earlier"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fresh.repartitionByRange(ranges, "kind_ord", "first", "value").withColumn("range", F.spark_partition_id()).persist()
+    if cached is not None:
+        cached.append(dealt)
+    earlier = dealt.groupBy("kind_ord", "range").count()
+    earlier = earlier.select("kind_ord", "range", (F.sum("count").over(Window.partitionBy("kind_ord").orderBy("range")) - F.col("count")).alias("earlier"))
     taken = mapping.filter("kind IS NOT NULL").groupBy("kind").agg(F.max("idx").alias("taken"))
-    numbered = fresh.withColumn("nth", F.row_number().over(Window.partitionBy("kind_ord", "stretch").orderBy("first", "value")))
+    numbered = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("kind_ord", "range").orderBy("first", "value")))
     kind = F.get(F.array(*[F.lit(k.name) for k in KINDS]), F.col("kind_ord"))
-    small = lambda df: F.broadcast(df)  # noqa: E731  at most 8 kinds times `steps` rows
-    out = numbered.join(small(earlier), ["kind_ord", "stretch"]).withColumn("kind", kind).join(small(taken), "kind", "left")
+    # At most a row for each kind and range, and one for each kind.
+    out = numbered.join(F.broadcast(earlier), ["kind_ord", "range"]).withColumn("kind", kind).join(F.broadcast(taken), "kind", "left")
     idx = F.col("nth") + F.col("earlier") + F.coalesce("taken", F.lit(0))
     return out.select(F.concat_ws("_", kind_prefix(F.col("kind_ord")), idx.cast("string")).alias("placeholder"), "value", "kind", idx.cast("bigint").alias("idx"))
 

@@ -59,7 +59,7 @@ def _with_pieces(df: DataFrame, pieces: DataFrame, key: str, text_col: str) -> D
 
 
 def mask(df: DataFrame, text_col: str, key: str, order_col: str | None = None, settings: Settings | None = None, mapping: DataFrame | None = None) -> Masked:
-    """Mask a column of texts. order_col (default: key), a number, is the order in which values count as first seen.
+    """Mask a column of texts. order_col (default: key) is the order in which values count as first seen.
 
     Only values travel: the new ones by value for their numbers, then each row's with its key. The last join is on the
     key and a hash of the text, nulls included, so that a missing or repeated key can neither leave a text unmasked nor
@@ -70,7 +70,9 @@ def mask(df: DataFrame, text_col: str, key: str, order_col: str | None = None, s
     order_col = order_col or key
     found = df.select(F.col(key).alias("_key"), F.xxhash64(text_col).alias("_hash"), F.col(order_col).alias("ord"), F.posexplode(detect(F.col(text_col), settings)).alias("pos", "m"))
     found = found.select("_key", "_hash", "ord", "pos", F.col("m.start").alias("start"), (F.col("m.start") - F.col("m.neg_length")).alias("end"), F.col("m.kind_ord").alias("kind_ord"), F.col("m.value").alias("value")).persist()
-    fresh = M.mint(found, known).persist()
+    cached = [found]
+    fresh = M.mint(found, known, cached).persist()
+    cached.append(fresh)
     total = M.remember(known, fresh)
     piece = F.struct("pos", "start", "end", kind_name(F.col("kind_ord")).alias("kind"), F.col("placeholder").alias("put"))
     # Only the older table can hold a value twice. The union is dealt out for the join like the matches are, so that
@@ -81,7 +83,7 @@ def mask(df: DataFrame, text_col: str, key: str, order_col: str | None = None, s
     none = F.array().cast("array<struct<pos:int,start:int,end:int,kind:string,put:string>>")
     out = out.withColumn("_pieces", F.coalesce("_pieces", none))
     out = out.withColumn("masked", F.when(F.size("_pieces") == 0, F.col(text_col)).otherwise(splice(F.col(text_col), F.col("_pieces")))).withColumn("report", _reported(F.col("_pieces")))
-    return Masked(out.drop("_pieces").withColumn("n_masked", F.size("report")).withColumn("summary", summary(F.col("report"))), total, fresh, (found, fresh))
+    return Masked(out.drop("_pieces").withColumn("n_masked", F.size("report")).withColumn("summary", summary(F.col("report"))), total, fresh, tuple(cached))
 
 
 def placeholders(text: Column) -> Column:
