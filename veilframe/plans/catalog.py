@@ -93,6 +93,9 @@ for _name, (_detector, _text, _settings) in _DETECTIONS.items():
     QUERIES[_name] = _detection(_d, _text)
     ORACLES[_name] = f'SELECT key, "start", "end", value FROM ({O.candidates(TEXTS[_text][1], _d)})'
 
+#: Queries without SQL, which are held against the plain Python detectors instead: RE2 has no Unicode word boundary.
+WITHOUT_SQL: dict[str, Query] = {"detect_person_name_unicode": _detection(P.detectors(Settings(("person_name",)))[0], "documents")}
+
 
 # Scalar functions.
 
