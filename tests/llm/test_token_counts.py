@@ -25,6 +25,16 @@ def test_counts_equal_the_library_on_the_public_vocabulary():
         assert vocabulary.count(text)[0] == (vocabulary.search(C.MARK + text.replace(" ", C.MARK))[0] if text else 0)
 
 
+def test_ordinary_pieces_in_angle_brackets_count():
+    pieces = C.read_pieces(C.default_path())
+    vocabulary, tokenizer, scores = C.load(None), library(pieces, True), dict(pieces)
+    for text in ["List<>", "Class<?>", "where a<>b", "new ArrayList<>()", "<>", "<?>", "a <?> b <> c<>"]:
+        encoded = tokenizer.encode(C.MARK + text.replace(" ", C.MARK), add_special_tokens=False)
+        assert vocabulary.count(text) == (len(encoded.ids), sum(scores[t] for t in encoded.tokens)), text
+    assert C.special_pieces(C.default_path()) == {"<unk>", "<s>", "</s>"} | {f"<0x{b:02X}>" for b in range(256)}
+    assert vocabulary.count("<s>")[0] > 1  # a control piece stands for no text
+
+
 def test_ties_and_unknowns_equal_the_library():
     rng = random.Random(3)
     for trial in range(60):

@@ -39,12 +39,12 @@ def default_path() -> str:
 
 
 class Vocabulary:
-    """Pieces with scores. Fused unknowns and byte pieces as the tokenizers have them."""
+    """Pieces with scores. Fused unknowns and byte pieces as the tokenizers have them; special pieces stand for no text."""
 
-    def __init__(self, pieces: list[tuple[str, float]], remembered: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float]], remembered: int = 400_000, special: frozenset[str] = frozenset()):
         import ahocorasick
 
-        usable = {p: s for p, s in pieces if p and not re.fullmatch(r"<.*>", p)}
+        usable = {p: s for p, s in pieces if p and p not in special}
         self.byte_pieces = {f"<0x{b:02X}>" for b in range(256)} <= {p for p, _ in pieces}
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.single = {p for p in usable if len(p) == 1}
@@ -109,17 +109,28 @@ class Vocabulary:
         return tokens, total
 
 
-def read_pieces(path: str) -> list[tuple[str, float]]:
+def _model(path: str):
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def read_pieces(path: str) -> list[tuple[str, float]]:
+    model = _model(path)
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
+def special_pieces(path: str) -> frozenset[str]:
+    """Those the model marks as control, unknown or byte, however they are spelled."""
+    model = _model(path)
+    return frozenset(model.id_to_piece(i) for i in range(model.get_piece_size()) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
+
+
 @lru_cache(maxsize=2)
 def load(path: str | None) -> Vocabulary:
     """One instance for each Python worker."""
-    return Vocabulary(read_pieces(path or default_path()))
+    path = path or default_path()
+    return Vocabulary(read_pieces(path), special=special_pieces(path))
 
 
 def token_counts(df: DataFrame, text_col: str = "text", keep_cols: list[str] | None = None, vocabulary_path: str | None = None) -> DataFrame:
