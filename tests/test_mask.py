@@ -114,3 +114,16 @@ def test_missing_and_repeated_keys_leak_nothing(spark):
     back = restore(m.df.select("id", "masked"), "masked", "id", m.mapping).collect()
     assert sorted(((r["id"], r["restored"]) for r in back), key=str) == sorted(rows, key=str)
     assert has_restorable(m.df.select("id", "masked"), "masked", "id", m.mapping).filter("restorable").count() == 5
+
+
+def test_edit_queries_report_every_row(spark, tmp_path):
+    from veilframe.plans import catalog
+
+    rows = [(1, 0, "user", "the e us"), (1, 1, "user", ""), (1, 2, "user", None), (2, 0, "", "abc")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {n: sorted(map(tuple, catalog.QUERIES[n](spark, str(tmp_path)).select("conv_id", "turn", "occurrences", "status", "edited").collect()), key=lambda r: r[:2]) for n in ("edit_unique", "edit_ambiguous", "edit_missing", "edit_by_role")}
+    missing = [(c, t, 0, "not found", x) for c, t, _, x in rows]
+    assert got["edit_missing"] == missing
+    assert got["edit_unique"] == [(1, 0, 1, "edited", "EDITED"), (1, 1, 0, "empty", ""), missing[2], (2, 0, 1, "edited", "EDITED")]
+    assert got["edit_ambiguous"] == [(1, 0, 2, "ambiguous", "the e us"), *missing[1:]]
+    assert got["edit_by_role"] == [(1, 0, 1, "edited", "the e EDITED"), *missing[1:3], (2, 0, 0, "empty", "abc")]

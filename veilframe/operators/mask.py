@@ -110,8 +110,8 @@ def has_restorable(df: DataFrame, text_col: str, key: str, mapping: DataFrame) -
 
 
 def edit(text: Column, old: Column, new: Column) -> Column:
-    """struct(status, occurrences, edited): exactly one occurrence of old is replaced; otherwise text stays and status says why."""
-    count = F.when(old == "", 0).otherwise(((F.length(text) - F.length(F.replace(text, old, F.lit("")))) / F.length(old)).cast("int"))
+    """struct(status, occurrences, edited): exactly one occurrence of old is replaced; otherwise text stays and status says why. A null text or old has no occurrence."""
+    count = F.when((old == "") | text.isNull() | old.isNull(), 0).otherwise(((F.length(text) - F.length(F.replace(text, old, F.lit("")))) / F.length(old)).cast("int"))
     status = F.when(old == "", "empty").when(count == 0, "not found").when(count > 1, "ambiguous").otherwise("edited")
     return F.struct(status.alias("status"), count.alias("occurrences"), F.when((old != "") & (count == 1), F.replace(text, old, new)).otherwise(text).alias("edited"))
 

@@ -280,7 +280,7 @@ def _edit_sql(old: str) -> str:
 
 for _name, _old, _sql in (("edit_unique", lambda: F.col("text"), "text"), ("edit_ambiguous", lambda: F.lit("e "), "'e '"), ("edit_missing", lambda: F.lit("no such words"), "'no such words'"), ("edit_by_role", lambda: F.concat(F.substring("role", 1, 2), F.lit("")), "substr(role, 1, 2)")):
     def _edit(spark, sf_dir, old=_old):
-        e = table(spark, sf_dir, "conversations").filter("text <> ''").withColumn("e", edit(F.col("text"), old(), F.lit("EDITED")))
+        e = table(spark, sf_dir, "conversations").withColumn("e", edit(F.col("text"), old(), F.lit("EDITED")))
         return e.select("conv_id", "turn", F.col("e.occurrences").cast("bigint").alias("occurrences"), "e.status", "e.edited")
 
     QUERIES[_name] = _edit
