@@ -45,3 +45,23 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], ITEMS)
     assert D.benchmark_hits(docs, none, keep_cols=["doc_id"]).filter("_hits.contaminated").count() == 0
     assert D.benchmark_hits(docs.limit(0), spark.createDataFrame(BENCH, ITEMS)).count() == 0
+
+
+def test_spans_and_their_removal_on_both_paths(spark):
+    texts = {
+        1: "pre " + ITEM.replace("quick", "QUICK") + ", post", 2: "clean text", 3: None, 4: "", 5: "x SHORT-item y; short item", 6: "a short short item item b",
+        7: "été, " + ITEM + "! Ünd", 8: "short item",
+    }
+    docs = spark.createDataFrame([(i, t, "clash", "clash") for i, t in texts.items()], "doc_id bigint, text string, _spans string, _n_removed string")
+    bench = spark.createDataFrame(BENCH, ITEMS)
+    n = len(tokens(ITEM))
+    for bound in (1 << 20, 0):
+        out = {r["doc_id"]: r["_spans"].asDict(recursive=True) for r in D.benchmark_spans(docs, bench, keep_cols=["doc_id"], max_index_bytes=bound).collect()}
+        ranges = {i: [(s["start"], s["end"]) for s in x["spans"]] for i, x in out.items()}
+        assert ranges == {1: [(1, 1 + n)], 2: [], 3: [], 4: [], 5: [(1, 3), (4, 6)], 6: [(2, 4)], 7: [(1, 1 + n)], 8: [(0, 2)]}, bound
+        assert {i: x["items"] for i, x in out.items()} == {1: ["7"], 2: [], 3: [], 4: [], 5: ["10", "11"], 6: ["10", "11"], 7: ["7"], 8: ["10", "11"]}
+        cut = D.remove_benchmark_spans(docs, bench, max_index_bytes=bound)
+        assert cut.columns == [*docs.columns, "_n_removed_"]
+        got = {r["doc_id"]: (r["text"], r["_n_removed_"]) for r in cut.collect()}
+        assert got == {1: ("pre , post", n), 2: ("clean text", 0), 3: (None, 0), 4: ("", 0), 5: ("x  y; ", 4), 6: ("a  b", 4), 7: ("été, ! Ünd", n), 8: ("", 2)}, bound
+        assert D.benchmark_hits(cut, bench, max_index_bytes=bound).filter("_hits.contaminated").isEmpty()

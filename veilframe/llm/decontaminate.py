@@ -2,7 +2,10 @@
 
 The windows of all items form one hash set that every executor holds; a window of a document that hits it is verified
 word by word. The set is broadcast only while the items stay under `max_index_bytes`; beyond that the windows of both
-sides are joined in a shuffle instead (`joined_hits`), with the same result.
+sides are joined in a shuffle instead (`joined_spans`), with the same result.
+
+What is found are ranges of words and the items they hit (`benchmark_spans`); `benchmark_hits` derives digests of them, and
+`remove_benchmark_spans` cuts the ranges out of the texts.
 
 Defined cases: a null or wordless text has no words, no hits and is clean; a wordless item matches nothing; an item of
 fewer words than a window is one window; items with the same id count once; windows of an item without an id mark
@@ -11,12 +14,13 @@ words but add no item; repeated rows are judged each on its own; an empty benchm
 
 from __future__ import annotations
 
-import hashlib
+import re
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +28,8 @@ from veilframe.llm.shared import chunks, documents, free_names, materialize, nam
 
 #: Bytes of words: digits, letters (to lower case) and everything outside ASCII; the rest separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-HITS = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+SPANS = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+_WORD = re.compile(rb"[^ ]+")
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -88,12 +93,8 @@ class WindowSet:
         return [(len(x), covered[e - len(x) - 1:e - 1], sorted(f)) for x, e, f in zip(lists, ends.tolist(), found, strict=True)]
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
-def joined_hits(plain: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """The same hits by a shuffle join of windows, for benchmarks too large to broadcast. plain has _text; items _item and _text."""
+def joined_spans(plain: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """The same spans by a shuffle join of windows, for benchmarks too large to broadcast. plain has _text; items _item and _text."""
     lower = F.translate(F.coalesce(F.col("_text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     listed = F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
     items = items.select("_item", listed.alias("_w")).filter(F.size("_w") > 0).withColumn("_n", F.least(F.size("_w"), F.lit(width)))
@@ -103,36 +104,92 @@ def joined_hits(plain: DataFrame, items: DataFrame, width: int) -> DataFrame:
     rows = materialize(plain.withColumn("_id", F.monotonically_increasing_id()).withColumn("_w", listed).drop("_text"), "windows")
     each = rows.select("_id", "_w").join(sizes, F.size("_w") >= F.col("_n")).select("_id", "_n", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_w") - F.col("_n")), window)).alias("_p", "_k"))
     hits = each.join(items, ["_n", "_k"])
-    words = hits.select("_id", F.explode(F.sequence("_p", F.col("_p") + F.col("_n") - 1)).alias("_p")).distinct().groupBy("_id").agg(F.count("*").alias("n_hit"))
-    found = hits.filter("_item IS NOT NULL").select("_id", "_item").distinct().groupBy("_id").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
-    out = rows.join(words, "_id", "left").join(found, "_id", "left")
-    hit, held = F.coalesce("n_hit", F.lit(0)), F.coalesce("_items", F.array().cast("array<string>"))
-    struct = F.struct(F.size("_w").cast("bigint").alias("n_words"), hit.alias("n_hit"), F.size(held).cast("bigint").alias("n_items"), F.sha2(F.array_join(held, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
-    return out.select(*[c for c in plain.columns if c != "_text"], struct.alias("_hits"))
+    words = hits.select("_id", F.explode(F.sequence(F.col("_p").cast("bigint"), (F.col("_p") + F.col("_n") - 1).cast("bigint"))).alias("_p")).distinct()
+    runs = words.withColumn("_run", F.col("_p") - F.row_number().over(Window.partitionBy("_id").orderBy("_p"))).groupBy("_id", "_run").agg(F.min("_p").alias("start"), (F.max("_p") + 1).alias("end"))
+    spans = runs.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_found"))
+    held = hits.filter("_item IS NOT NULL").select("_id", "_item").distinct().groupBy("_id").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+    out = rows.join(spans, "_id", "left").join(held, "_id", "left")
+    struct = F.struct(F.size("_w").cast("bigint").alias("n_words"), F.coalesce("_found", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
+    return out.select(*[c for c in plain.columns if c != "_text"], struct.alias("_spans"))
 
 
-def benchmark_hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_cols: list[str] | None = None, width: int = 10, max_index_bytes: int = 64 << 20) -> DataFrame:
-    """One row per row of df: keep_cols (default: all) and the struct _hits."""
+def benchmark_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_cols: list[str] | None = None, width: int = 10, max_index_bytes: int = 64 << 20) -> DataFrame:
+    """One row per row of df: keep_cols (default: all) and the struct _spans: ranges of hit words, ids of the items found."""
     cols = keep_cols if keep_cols is not None else df.columns
     plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)], named(text_col).cast("binary").alias("_text"))
     items = benchmark.select(named(item_col).cast("string").alias("_item"), named(item_text_col).cast("binary").alias("_text"))
     size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     if size > max_index_bytes:
-        out = joined_hits(plain, items, width)
+        out = joined_spans(plain, items, width)
     else:
         index = WindowSet([(r["_item"], r["_text"]) for r in items.collect()], width)
         shipped = df.sparkSession.sparkContext.broadcast(index)
+        struct = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+
+        def ranges(mask: np.ndarray) -> list[dict]:
+            edges = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)) if mask.any() else mask[:0]
+            return [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
 
         def scan(batches):
             for batch in batches:
                 for part in chunks(batch, "_text"):
                     found = shipped.value.scan([x.as_py() for x in part.column("_text")])
-                    hits = [{"n_words": n, "n_hit": int(mask.sum()), "n_items": len(i), "items_sha256": digest(i), "contaminated": bool(mask.any())} for n, mask, i in found]
+                    spans = [{"n_words": n, "spans": ranges(mask), "items": i} for n, mask, i in found]
                     kept = part.select([c for c in part.schema.names if c != "_text"])
-                    yield kept.append_column("_hits", pa.array(hits, type=pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])))
+                    yield kept.append_column("_spans", pa.array(spans, type=struct))
 
-        out = plain.mapInArrow(scan, plain.drop("_text").schema.add("_hits", T.StructType.fromDDL(HITS)))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], F.col("_hits").alias(*free_names(cols, "_hits")))
+        out = plain.mapInArrow(scan, plain.drop("_text").schema.add("_spans", T.StructType.fromDDL(SPANS)))
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], F.col("_spans").alias(*free_names(cols, "_spans")))
+
+
+def benchmark_hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_cols: list[str] | None = None, width: int = 10, max_index_bytes: int = 64 << 20) -> DataFrame:
+    """One row per row of df: keep_cols (default: all) and the struct _hits, the digests of benchmark_spans."""
+    cols = keep_cols if keep_cols is not None else df.columns
+    found = benchmark_spans(df, benchmark, text_col, item_col, item_text_col, cols, width, max_index_bytes).toDF(*[f"_c{i}" for i in range(len(cols))], "_s")
+    struct = F.struct(
+        F.col("_s.n_words").alias("n_words"), _n_hit(F.col("_s.spans")).alias("n_hit"), F.size("_s.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("_s.items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("_s.spans") > 0).alias("contaminated"),
+    )
+    return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], struct.alias(*free_names(cols, "_hits")))
+
+
+def _n_hit(spans: Column) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, x: n + x["end"] - x["start"])
+
+
+def without(text: bytes, spans: list[dict]) -> bytes:
+    """text less the bytes from the first to the last word of each span; what is around them stays as it is."""
+    at, kept, done = [m.span() for m in _WORD.finditer(text.translate(WORD_BYTES))], [], 0
+    for span in spans:
+        kept.append(text[done:at[span["start"]][0]])
+        done = at[span["end"] - 1][1]
+    return b"".join([*kept, text[done:]])
+
+
+def remove_benchmark_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, max_index_bytes: int = 64 << 20) -> DataFrame:
+    """df with the hit words cut out of text_col, and _n_removed, how many went. No row goes.
+
+    Words that meet at a cut can make a window anew, so texts that were cut are searched again until none has a hit.
+    """
+    cols = df.columns
+    at, kind = f"_c{cols.index(text_col)}", df.schema[cols.index(text_col)].dataType
+    rows = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)], F.lit(0).cast("bigint").alias("_n"))
+    rows, clean = rows.withColumn(at, F.col(at).cast("binary")), []
+
+    def cut(batches):
+        for batch in batches:
+            texts = [without(t, s["spans"]) for t, s in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            yield batch.set_column(batch.schema.get_field_index(at), at, pa.array(texts, pa.binary()))
+
+    while True:
+        found = materialize(benchmark_spans(rows, benchmark, at, item_col, item_text_col, None, width, max_index_bytes), "spans")
+        clean.append(found.filter("size(_spans.spans) = 0").drop("_spans"))
+        hit = found.filter("size(_spans.spans) > 0")
+        if hit.isEmpty():
+            break
+        rows = hit.mapInArrow(cut, hit.schema).withColumn("_n", F.col("_n") + _n_hit(F.col("_spans.spans"))).drop("_spans")
+    out = reduce(DataFrame.union, clean).withColumn(at, F.col(at).cast(kind))
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], F.col("_n").alias(*free_names(cols, "_n_removed")))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
