@@ -71,7 +71,7 @@ def test_plan_places_every_piece(seed):
     rng = random.Random(seed)
     spread = [lambda: rng.randint(1, 2048), lambda: rng.randint(600, 1100), lambda: rng.choice([683, 1024, 1365, 2048, 1]), lambda: min(2048, int(rng.expovariate(1 / 300)) + 1)][seed % 4]
     counts = Counter(spread() for _ in range(rng.choice([1, 50, 5000])))
-    for groups in (1, 7, 64, 1 << 20):
+    for groups in (1, 7, 64, 128):
         plan = P.Plan(counts, 2048, groups, 128)
         placed = Counter()
         for size, items in plan.classes:
@@ -79,3 +79,37 @@ def test_plan_places_every_piece(seed):
             for n, k in items:
                 placed[n] += size * k
         assert placed == counts
+
+
+def test_groups_are_of_equal_cardinality_and_round_up():
+    rng = random.Random(3)
+    counts = Counter(rng.randint(128, 2047) for _ in range(6400))
+    rounded = P.grouped(counts, 64)
+    assert len(rounded) <= 64 and sum(rounded.values()) == 6400 and max(rounded.values()) <= 2 * 100
+    real = sorted(counts.elements(), reverse=True)
+    upper = sorted((n for n, c in rounded.items() for _ in range(c)), reverse=True)
+    assert all(a >= b for a, b in zip(upper, real)) and sum(upper) > sum(real)
+
+
+def test_configurations_reach_the_least_fraction():
+    """Against the best fractional packing by hand, and never below the volume."""
+    assert sum(x for x, _ in P.configurations({1000: 10}, 2048)) == pytest.approx(5)
+    assert sum(x for x, _ in P.configurations({1500: 10, 500: 10}, 2048)) == pytest.approx(10)
+    assert sum(x for x, _ in P.configurations({1025: 4, 1023: 4, 683: 3, 682: 3}, 2048)) == pytest.approx(4 + 2, abs=0.3)
+    rng = random.Random(5)
+    need = {n: rng.randint(20, 90) for n in rng.sample(range(128, 2048), 60)}
+    found = P.configurations(need, 2048)
+    assert all(sum(sizes) <= 2048 for _, sizes in found)
+    for n, c in need.items():
+        assert sum(x * sizes.count(n) for x, sizes in found) == pytest.approx(c)
+    assert sum(x for x, _ in found) <= 1.02 * sum(n * c for n, c in need.items()) / 2048 + 1 or max(need) > 1024
+
+
+@pytest.mark.parametrize("spread", [lambda r: r.randint(1, 2047), lambda r: min(2047, int(r.expovariate(1 / 500)) + 1)])
+def test_most_pieces_take_the_places_of_rounded_ones(spread):
+    rng = random.Random(8)
+    counts = Counter(spread(rng) for _ in range(20_000))
+    plan = P.Plan(counts, 2048)
+    large = sum(c for n, c in counts.items() if n >= P.SMALL)
+    assert any(n not in plan.rounded[0] for n in counts if n >= P.SMALL) and plan.substituted >= 0.95 * large
+    assert plan.sequences <= 1.006 * sum(n * c for n, c in counts.items()) / 2048 + 1

@@ -4,15 +4,16 @@ The texts are tokenised once; a table of pieces (ids, lengths, checksums) is wri
 needs only how many pieces there are of each length, at most `capacity` numbers, so the plan is made on the driver from
 a table whose size does not depend on the corpus:
 
-1. large lengths are sorted into groups of equal cardinality and rounded up to the longest of their group;
-2. configurations of the few rounded sizes are chosen, each the fullest that still holds the largest size left,
-   and used as often as the counts allow;
-3. the real lengths take the places of the rounded ones, which frees room;
+1. large lengths are sorted into 128 groups of equal cardinality and rounded up to the longest of their group (a piece
+   that fills a sequence by itself is one);
+2. the configurations of those few sizes that need the fewest sequences are found by column generation, and each is used
+   as often as that says, to the nearest whole number;
+3. real lengths take the places of the rounded ones, the last of a configuration as long as the room allows. Pieces whose
+   places others have filled are grouped anew, into half as many; the last of them get sequences of their own, as full as can be;
 4. small pieces go, longest first, where they fit best.
 
-The plan with the fewest sequences over a few numbers of groups is used. It says for each length which ranks go to
-which sequences; pieces get their rank within their length from a two-level count, so that a length which holds a third
-of all pieces is ranked in many tasks.
+The plan says for each length which ranks go to which sequences; pieces get their rank within their length from a
+two-level count, so that a length which holds a third of all pieces is ranked in many tasks.
 
 Defined cases: null text is empty and gives one piece, the separator; repeated rows are packed each; null ids are kept;
 an empty table gives an empty result.
@@ -33,6 +34,10 @@ from veilframe.llm import bpe
 from veilframe.llm.shared import chunks, documents, materialize, named
 
 CAPACITY = 2048
+#: Sizes that large lengths are rounded up to, at most; shorter lengths than SMALL are not rounded.
+GROUPS, SMALL = 128, 128
+#: Groupings: of all, then of what was left over, each time into half as many groups.
+ROUNDS = 2
 SEPARATOR = 0
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -63,50 +68,142 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     return plain.mapInArrow(cut, T.StructType([plain.schema["doc_id"], *T.StructType.fromDDL(PIECE)]))
 
 
+def grouped(large: dict[int, int], groups: int) -> dict[int, int]:
+    """Counts of the rounded sizes: the lengths in order, cut into groups of equal cardinality, each rounded up to its longest."""
+    total, taken, rounded, group, size = sum(large.values()), 0, {}, -1, 0
+    for n, c in sorted(large.items(), reverse=True):
+        while c:
+            if (g := taken * groups // total) != group:
+                group, size = g, n  # the first length of a group is its longest
+            part = min(c, max(1, -(-(g + 1) * total // groups) - taken))
+            rounded[size] = rounded.get(size, 0) + part
+            taken, c = taken + part, c - part
+    return rounded
+
+
+def fullest_by(gain: np.ndarray, sizes: np.ndarray, copies: np.ndarray, capacity: int) -> np.ndarray:
+    """How often to take each size so that the gains sum to the most within capacity: a knapsack, copies in powers of two."""
+    best, steps = np.zeros(capacity + 1), []
+    for i in np.flatnonzero(gain > 1e-12).tolist():
+        left, part = int(copies[i]), 1
+        while left:
+            k = min(part, left)
+            left, part, width = left - k, 2 * part, k * int(sizes[i])
+            if width > capacity:
+                break
+            taken = best[:-width] + k * gain[i]
+            better = taken > best[width:]
+            best[width:][better] = taken[better]
+            steps.append((i, k, width, better))
+    out, at = np.zeros(len(sizes)), capacity
+    for i, k, width, better in reversed(steps):
+        if at >= width and better[at - width]:
+            out[i] += k
+            at -= width
+    return out
+
+
+def configurations(rounded: dict[int, int], capacity: int, rounds: int = 1000) -> list[tuple[float, list[int]]]:
+    """(how often, sizes) of the configurations that pack the rounded sizes into the fewest sequences, fractions allowed.
+
+    Column generation: a basis of configurations, one more at a time where the knapsack over the sizes' prices finds one
+    worth more than a sequence; it ends when no packing can be better by more than 1 in 1,000. `rounds` bounds the
+    time on the driver, not what is packed.
+    """
+    sizes = np.array(sorted(rounded, reverse=True), dtype=np.int64)
+    need = np.array([rounded[n] for n in sizes.tolist()], dtype=float)
+    copies = np.minimum(need, capacity // sizes)
+    inverse, columns, often = np.diag(1 / copies), [c * e for c, e in zip(copies, np.eye(len(sizes)), strict=True)], need / copies
+    for _ in range(rounds if len(sizes) else 0):
+        prices = inverse.sum(axis=0)
+        column = fullest_by(prices, sizes, copies, capacity)
+        worth, total = prices @ column, often.sum()
+        if worth <= 1 + 1e-9 or total - total / worth < max(0.3, 1e-3 * total):  # total / worth bounds every packing from below
+            break
+        direction = inverse @ column
+        ratio = np.where(direction > 1e-10, np.maximum(often, 0) / np.where(direction > 1e-10, direction, 1), np.inf)
+        leaves = int(ratio.argmin())
+        step = ratio[leaves]
+        often = often - step * direction
+        often[leaves], columns[leaves] = step, column
+        inverse[leaves] /= direction[leaves]
+        direction[leaves] = 0
+        inverse -= np.outer(direction, inverse[leaves])
+    found = [(float(x), [n for n, k in zip(sizes.tolist(), c.tolist(), strict=True) for _ in range(int(k))]) for x, c in zip(often, columns, strict=True)]
+    return sorted(found, key=lambda f: -f[0])
+
+
 class Plan:
     """Classes of equal sequences: (how many, [(length, copies), ...])."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, groups: int, small: int):
+    def __init__(self, counts: dict[int, int], capacity: int, groups: int = GROUPS, small: int = SMALL):
         self.capacity = capacity
         self.done: list[tuple[int, list[tuple[int, int]]]] = []
         self.open: dict[int, list[tuple[int, list[tuple[int, int]]]]] = defaultdict(list)
-        large = {n: c for n, c in counts.items() if n >= small}
-        for size, items in self._configurations(*self._grouped(large, groups)):
-            self._add(size, items)
+        self.left = {n: c for n, c in counts.items() if c}
+        if full := self.left.pop(capacity, 0):
+            self._add(full, [(capacity, 1)])
+        self.rounded: list[dict[int, int]] = []
+        self.substituted = 0  # pieces that took the place of a rounded size
+        for turn in range(ROUNDS):
+            self._grouping(max(1, groups >> turn), small)
+        self._rest({n: c for n, c in self.left.items() if n >= small})
         for n, c in sorted(((n, c) for n, c in counts.items() if n < small), reverse=True):
             self._best_fit(n, c)
         self.classes = self.done + [x for found in self.open.values() for x in found]
         self.sequences = sum(m for m, _ in self.classes)
 
+    def _grouping(self, groups: int, small: int) -> None:
+        """Large pieces that are left: rounded in groups, configured, and put in the places of their rounded sizes."""
+        large = {n: c for n, c in self.left.items() if n >= small}
+        rounded = grouped(large, groups)
+        self.rounded.append(rounded)
+        self.least = dict(zip(sorted(rounded), [small, *sorted(rounded)], strict=False))  # of each group the least length it can have
+        self.lengths = sum(1 << n for n in large)  # bit n: some piece of length n is left
+        for often, sizes in configurations(rounded, self.capacity):
+            self._substitute(int(often + 0.5), sizes)
+        self.substituted += sum(large.values()) - sum(self.left.get(n, 0) for n in large)
+
     def _add(self, size: int, items: list[tuple[int, int]]) -> None:
         room = self.capacity - sum(n * k for n, k in items)
         (self.open[room] if room else self.done).append((size, items))
 
-    @staticmethod
-    def _grouped(large: dict[int, int], groups: int) -> tuple[dict[int, int], dict[int, list[list[int]]]]:
-        """Counts of the rounded sizes, and behind each size the real lengths as [length, count] from the longest."""
-        total, taken, rounded, behind, group, size = sum(large.values()), 0, {}, {}, -1, 0
-        for n, c in sorted(large.items(), reverse=True):
-            while c:
-                if (g := taken * groups // total) != group:
-                    group, size = g, n  # the first length of a group is its longest
-                part = min(c, max(1, -(-(g + 1) * total // groups) - taken))
-                rounded[size] = rounded.get(size, 0) + part
-                behind.setdefault(size, []).append([n, part])
-                taken, c = taken + part, c - part
-        return rounded, behind
-
-    def _configurations(self, left: dict[int, int], behind: dict[int, list[list[int]]]):
-        left = dict(left)
+    def _substitute(self, times: int, sizes: list[int]) -> None:
+        """Real lengths in a configuration's places: each takes the longest left that its rounded size admits, the last the longest that the room does.
+
+        Where a place finds only pieces of groups below its own, the configuration has served its time: last places took what it would hold.
+        """
+        while times:
+            taken: Counter = Counter()
+            room, lengths = self.capacity, self.lengths
+            for i, size in enumerate(sizes):
+                most = room if i == len(sizes) - 1 else size
+                n = (lengths & ((1 << (most + 1)) - 1)).bit_length() - 1
+                if n < self.least[size]:
+                    return
+                taken[n] += 1
+                room -= n
+                if taken[n] == self.left[n]:
+                    lengths &= ~(1 << n)
+            part = min(times, *(self.left[n] // k for n, k in taken.items()))
+            self._take(part, taken)
+            times -= part
+
+    def _take(self, times: int, items: Counter) -> None:
+        for n, k in items.items():
+            self.left[n] -= k * times
+            if not self.left[n]:
+                del self.left[n]
+                self.lengths &= ~(1 << n)
+        self._add(times, sorted(items.items(), reverse=True))
+
+    def _rest(self, left: dict[int, int]) -> None:
+        """Large pieces that rounding left over: each with the fullest company, from the longest."""
         while left:
-            top = max(left)
-            items = self._fullest(top, left)
+            items = self._fullest(max(left), left)
             times = min(left[n] // k for n, k in items.items())
-            for n, k in items.items():
-                left[n] -= k * times
-                if not left[n]:
-                    del left[n]
-            yield from self._substituted(times, [n for n, k in sorted(items.items(), reverse=True) for _ in range(k)], behind)
+            self._take(times, items)
+            left = {n: self.left[n] for n in left if n in self.left}
 
     def _fullest(self, top: int, left: dict[int, int]) -> Counter:
         """The fullest set of sizes that holds top: subset sums as bits of an integer, large sizes preferred."""
@@ -128,30 +225,6 @@ class Plan:
                 total -= k * n
         return items
 
-    @staticmethod
-    def _substituted(times: int, sizes: list[int], behind: dict[int, list[list[int]]]):
-        """The real lengths in place of the rounded sizes: a class for each stretch in which none of them changes."""
-        queues = []
-        for n in sizes:
-            need, runs = times, []
-            while need:
-                first = behind[n][0]
-                part = min(need, first[1])
-                runs.append([first[0], part])
-                first[1] -= part
-                need -= part
-                if not first[1]:
-                    behind[n].pop(0)
-            queues.append(runs)
-        while times:
-            part = min(runs[0][1] for runs in queues)
-            yield part, sorted(Counter(runs[0][0] for runs in queues).items(), reverse=True)
-            for runs in queues:
-                runs[0][1] -= part
-                if not runs[0][1]:
-                    runs.pop(0)
-            times -= part
-
     def _best_fit(self, n: int, count: int) -> None:
         while count:
             room = min((r for r, found in self.open.items() if r >= n and found), default=None)
@@ -188,19 +261,10 @@ class Plan:
         return {n: np.array(x, dtype=np.int64) for n, x in rows.items()}
 
 
-def best_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = (64, 512, 1 << 20), small: int = 128) -> Plan:
-    plans = []
-    for g in groups:
-        plans.append(Plan(counts, capacity, g, min(small, capacity // 8 + 1)))
-        if plans[-1].sequences == -(-sum(n * c for n, c in counts.items()) // capacity):
-            break
-    return min(plans, key=lambda p: p.sequences)
-
-
 def pack(cut: DataFrame, capacity: int = CAPACITY, rows_a_bucket: int = 20_000) -> DataFrame:
     """The pieces with sequence_id and offset. cut must be a stored table."""
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    slots = best_plan(counts, capacity).slots()
+    slots = Plan(counts, capacity, GROUPS, min(SMALL, capacity // 8 + 1)).slots()
     buckets = max(64, -(-sum(counts.values()) // rows_a_bucket))
     dealt = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     before = dealt.groupBy("length", "_b").agg(F.count("*").alias("_n"))
