@@ -71,7 +71,7 @@ def test_search_prunes_nothing_that_links():
         hot = np.uint64(12345) ^ np.array([sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for _ in range(crowd)], dtype=np.uint64) if crowd else base[:0]
         points = np.unique(np.concatenate([base, near, hot]))
         links = S.Links(points, 4)
-        links.LEAF = 64
+        links.LEAF = 16
         everything = np.arange(len(points))
         links.search(everything, everything)
         want = brute_components([int(p) for p in points])
@@ -79,24 +79,86 @@ def test_search_prunes_nothing_that_links():
         assert got == want
 
 
-def test_chunked_shards_find_the_same(spark):
+def signed(points):
+    return [(p - (1 << 64) if p >> 63 else p,) for p in points]
+
+
+def groups(points, roots):
+    out = {}
+    for p in points:
+        out.setdefault(roots.get(p, p), []).append(p)
+    return sorted(map(sorted, out.values()))
+
+
+def test_shards_and_chunks_of_any_size_find_the_same(spark):
     rng = random.Random(4)
-    points = sorted({(0xABC << 40) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7))) for _ in range(900)})
-    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in points], "_fp bigint")
-    want = brute_components(points)
-    for chunk in (50, 1024):
-        roots = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in connected_components(S.links(df, chunk=chunk)).collect()}
-        groups = lambda m: sorted(sorted(p for p in points if m.get(p, p) == r) for r in {m.get(p, p) for p in points})
-        assert groups(roots) == groups(want)
-
-
-def test_layout_leaves_enough_equal_bits():
-    for n in (0, 10, 10**6, 10**8, 10**10):
-        for radius in (0, 3, 4):
-            masks = S._layout(n, radius)
-            for _ in range(50):
-                flips = sum(1 << b for b in random.sample(range(64), radius))
-                assert any(not m & flips for m in masks)
+    crowd = {(0xABC << 40) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(7))) for _ in range(900)}
+    points = sorted(crowd | {rng.randrange(1 << 64) for _ in range(600)})
+    df = spark.createDataFrame(signed(points), "_fp bigint").repartition(3)
+    want = groups(points, brute_components(points))
+    for options in ({}, {"shard": 100, "crowd": 50}, {"shard": 40}, {"crowd": 300}):
+        roots = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in connected_components(S.links(df, **options)).collect()}
+        assert groups(points, roots) == want, options
+
+
+def test_pairs_within_the_radius_share_a_shard():
+    rng = np.random.default_rng(5)
+    for radius in (0, 1, 2, 3, 4, 7):
+        points = rng.integers(0, 2**64, 2000, dtype=np.uint64)
+        flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, radius + 1), replace=False)) for _ in points], dtype=np.uint64)
+        sample = rng.permutation(points)[:500]
+        met = np.zeros(len(points), bool)
+        sizes = []
+        for mask, slack in S.projections(radius):
+            tree = S.Tree(sample, mask, slack, 30)
+            for _, at in tree.deal(np.concatenate([points, points ^ flips])):
+                sizes.append(len(at))
+                here = np.zeros(2 * len(points), bool)
+                here[at] = True
+                met |= here[:2000] & here[2000:]
+        assert met.all() and max(sizes) < 2000, radius
+
+
+def test_crowds_are_not_compared_pair_by_pair():
+    rng = np.random.default_rng(6)
+    points = np.unique(np.array([sum(1 << int(b) for b in rng.choice(64, 2, replace=False)) for _ in range(20_000)], dtype=np.uint64))
+    found = S.Links(points, 4, *S.projections(4)[0])
+    every = np.arange(len(points))
+    found.search(every, every)
+    assert len(np.unique(found.roots(every))) == 1 and found.compared < len(points) ** 2 / 4
+
+
+def test_parts_come_one_at_a_time():
+    import pyarrow as pa
+
+    rows = [(1, 0, False, 5), (1, 0, False, 6), (1, 2, False, 7), (1, 2, True, 8), (4, 0, False, 9)]
+    table = pa.table({"shard": pa.array([r[0] for r in rows], pa.int32()), "part": [r[1] for r in rows], "side": [r[2] for r in rows], "_fp": [r[3] for r in rows]})
+    for size in (1, 2, 3, 5):
+        got = [(int(k), s.tolist(), p.tolist()) for k, s, p in S.parts(iter(table.to_batches(max_chunksize=size)))]
+        assert got == [(1, [False, False], [5, 6]), (1, [False, True], [7, 8]), (4, [False], [9])]
+    assert list(S.parts(iter([]))) == []
+
+
+def test_vantage_points_prune_on_the_test_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").repartition(8)
+    points = np.array(sorted({r["_fp"] % (1 << 64) for r in S.with_fingerprints(docs, "text").collect()}), dtype=np.uint64)
+    trees = [S.Tree(points, mask, slack, 2000) for mask, slack in S.projections(4)]
+    compared, links = 0, []
+    for tree, (mask, slack) in zip(trees, S.projections(4)):
+        for _, at in tree.deal(points):
+            shard = points[at]
+            assert len(shard) < len(points)
+            found, every = S.Links(shard, 4, mask, slack), np.arange(len(shard))
+            found.search(every, every)
+            compared += found.compared
+            links += zip(shard.tolist(), shard[found.roots(every)].tolist())
+    assert compared < len(points) ** 2 / 3  # of all ordered pairs two thirds at least are ruled out, over all three trees
+    parent = {p: p for p in points.tolist()}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert {p: find(p) for p in parent} == brute_components(points.tolist())
 
 
 def test_components_of_chains_and_hubs(spark):
