@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from veilframe.functions import patterns as P
 
 
+#: The e-mail pattern, asked only where a run of its first characters starts or a match has ended: from any later place
+#: in a run the same sign and domain follow. What comes before the first word boundary is passed over; group 1 is the address.
+_LOCAL = r"[A-Za-z0-9._%+\-]"
+EMAIL_FROM_RUN = rf"(?U)(?:(?<!{_LOCAL})|\G)(?:(?!\b){_LOCAL})*+(" + P.EMAIL.replace("+@", "++@") + ")"
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -63,7 +69,7 @@ def credential(value: Column) -> Column:
     trimmed = F.ltrim(F.rtrim(value, F.lit(P.TRIM_END)), F.lit(P.TRIM_START))
 
     def judged(v: Column) -> Column:
-        bad = F.contains(v, F.lit("://")) | F.startswith(F.lower(v), F.lit("www.")) | is_placeholder(v) | v.rlike("(?U)" + P.EMAIL)
+        bad = F.contains(v, F.lit("://")) | F.startswith(F.lower(v), F.lit("www.")) | is_placeholder(v) | v.rlike(EMAIL_FROM_RUN)
         special = "[" + "".join("\\" + c for c in P.CREDENTIAL_SPECIALS) + "]"
         return (F.length(v) >= 6) & ~bad & v.rlike(r"\p{IsAlphabetic}") & v.rlike("[0-9]") & v.rlike(special)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.offsets import find_all
 from veilframe.functions.patterns import PLACEHOLDER
+from veilframe.functions.validators import let
 from veilframe.kinds import Settings
 from veilframe.operators import mapping as M
 from veilframe.operators.detect import detect, kind_name, kind_prefix
@@ -33,9 +34,23 @@ class Masked:
 
 
 def splice(text: Column, pieces: Column) -> Column:
-    """text with each [start, end) of pieces (ordered, not overlapping) replaced by its `put`."""
-    step = lambda a, p: F.struct(p["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, p["start"] - a["at"]), p["put"]).alias("out"))
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    """text with each [start, end) of pieces (ordered, not overlapping) replaced by its `put`.
+
+    `substring` counts its way from the start, so each block of pieces is cut out of a stretch of its own.
+    """
+    ends = lambda p, i: F.coalesce(F.get(p, i)["end"], F.lit(0))
+
+    def block(these: Column, first: Column) -> Column:
+        part = F.substring(text, first + 1, F.element_at(these, -1)["end"] - first)
+        put = lambda part: F.transform(these, lambda p, i: let(F.when(i == 0, first).otherwise(ends(these, i - 1)), lambda at: F.concat(F.substring(part, at - first + 1, p["start"] - at), p["put"])))
+        return let(part, lambda part: F.array_join(put(part), ""))
+
+    def whole(p: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(p))).cast("int")
+        blocks = let(width, lambda w: F.transform(F.sequence(F.lit(0), F.size(p) - 1, w), lambda i: let(F.slice(p, i + 1, w), lambda these: let(ends(p, i - 1), lambda first: block(these, first)))))
+        return F.concat(F.array_join(blocks, ""), F.substring(text, ends(p, F.size(p) - 1) + 1, F.length(text)))
+
+    return let(pieces, lambda p: F.when(F.size(p) == 0, text).otherwise(whole(p)))
 
 
 def summary(report: Column) -> Column:
@@ -48,8 +63,10 @@ def summary(report: Column) -> Column:
 
 def _reported(pieces: Column) -> Column:
     """Distinct placeholders in first-seen order, each with the kind of its first match in this text."""
-    names = F.transform(pieces, lambda p: p["put"])
-    return F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("placeholder"), F.get(F.filter(pieces, lambda p: p["put"] == n), F.lit(0))["kind"].alias("kind")))
+    by_name = F.array_sort(F.transform(pieces, lambda p: F.struct(p["put"].alias("put"), p["pos"].alias("pos"), p["kind"].alias("kind"))))
+    first = lambda found: F.filter(found, lambda p, i: (i == 0) | (F.get(found, i - 1)["put"] != p["put"]))
+    by_place = F.array_sort(F.transform(let(by_name, first), lambda p: F.struct(p["pos"].alias("pos"), p["put"].alias("put"), p["kind"].alias("kind"))))
+    return F.transform(by_place, lambda p: F.struct(p["put"].alias("placeholder"), p["kind"].alias("kind")))
 
 
 def _with_pieces(df: DataFrame, pieces: DataFrame, key: str, text_col: str) -> DataFrame:
