@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from veilframe.llm import secrets as S
 
@@ -55,3 +59,37 @@ def test_redaction_leaves_no_base_span_and_clean_rows_alone(spark):
 def test_empty_table(spark):
     assert S.scan_secrets(frame(spark, []).limit(0)).count() == 0
     assert S.redact_secrets(frame(spark, []).limit(0)).count() == 0
+
+
+def test_spans_apart_and_united_match_brute_force(spark):
+    rng, rows = random.Random(2), []
+    for n in range(120):
+        cuts = sorted(rng.sample(range(200), 2 * rng.randrange(12)))
+        apart = [(a, 3, b, "v") for a, b in zip(cuts[::2], cuts[1::2])]
+        others = sorted((a, rng.randrange(3), a + rng.randint(1, 20), "v") for a in rng.sample(range(190), rng.randrange(9)))
+        rows.append((n, apart, others, sorted(apart + others), "".join(rng.choices("abcé😀", k=230))))
+    spans = "array<struct<s:int,k:int,e:int,v:string>>"
+    df = spark.createDataFrame(rows, f"i int, a {spans}, o {spans}, u {spans}, t string")
+    out = df.select("i", S._apart(F.col("a"), F.col("o")).alias("free"), F.when(F.size("u") == 0, F.col("t")).otherwise(S.splice(F.col("t"), S._united(F.col("u"), "#"))).alias("cut"))
+    for r in out.collect():
+        _, apart, others, every, text = rows[r["i"]]
+        assert [tuple(x) for x in r["free"]] == [x for x in apart if not any(o[0] < x[2] and x[0] < o[2] for o in others)]
+        want, end = "", 0
+        for s, _, e, _ in every:
+            if e > end:
+                want += text[end:s] + "#" if s >= end else ""
+                end = e
+        assert r["cut"] == want + text[end:]
+
+
+def test_time_grows_with_the_text(spark):
+    seconds = []
+    for n in (500, 8_000, 16_000, 32_000):
+        df = frame(spark, [(1, " ".join(f"{i:016x} token={'a' * 11}{i} Ab{i:030d}" for i in range(n)), "o")])
+        out = S.scan_secrets(df, keep_cols=["doc_id"])
+        began = time.perf_counter()
+        row = out.select(F.size("_spans").alias("n")).first()
+        S.redact_secrets(df).select(F.length("text")).first()
+        seconds.append(time.perf_counter() - began)
+        assert row["n"] >= 2 * n
+    assert seconds[2] < 2.5 * seconds[1] + 0.7 and seconds[3] < 2.5 * seconds[2] + 0.7, seconds

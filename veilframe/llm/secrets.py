@@ -17,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.offsets import located, running
+from veilframe.functions.validators import let
 from veilframe.llm.shared import documents, free_names, materialize, named
+from veilframe.operators.mask import splice
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -29,40 +32,37 @@ KINDS = ("assign", "access", "hex", "opaque")
 SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, keep, value=None) -> Column:
-    """All matches of pattern that keep() accepts, as (start, kind, end, value).
+def _spans(text: Column, pattern: str, kind: int, keep=None, value: int = 0) -> Column:
+    """All matches of pattern that keep() accepts, as (start, kind, end, value); the value is a group that ends the match."""
+    found = located(text, pattern, value)
+    if keep:
+        found = F.filter(found, lambda x: keep(x["value"]))
+    spans = F.transform(found, lambda x: F.struct((x["end"] - F.length(x["match"])).alias("s"), F.lit(kind).alias("k"), x["end"].alias("e"), x["value"].alias("v")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
-    Between n matches lie n + 1 gaps; the starts are running sums of both lengths.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value else found
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("g"), found.alias("m"), values.alias("v"))
-    start = lambda a, z: a["at"] + F.length(z["0"])
-
-    def step(a, z):
-        s, e = start(a, z), start(a, z) + F.length(z["1"])
-        span = F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e"), z["2"].alias("v"))
-        return F.struct(e.alias("at"), F.when(keep(z["1"], z["2"]), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    zipped = F.transform(pairs, lambda z: F.struct(z["g"].alias("0"), z["m"].alias("1"), z["v"].alias("2")))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, zero, step)["out"]).otherwise(F.array().cast(SPAN))
+def _apart(spans: Column, others: Column) -> Column:
+    """Those of spans that overlap none of others (both in order): by the furthest end of all others that start before a span ends."""
+    event = lambda x, of, span: F.struct(of.alias("at"), F.lit(span).alias("other"), x["e"].alias("e"), x["s"].alias("s"), x["k"].alias("k"), x["v"].alias("v"))
+    events = F.array_sort(F.concat(F.transform(spans, lambda x: event(x, x["e"], 0)), F.transform(others, lambda x: event(x, x["s"], 1))))
+    reach = lambda found: running(F.transform(found, lambda x: F.when(x["other"] == 1, x["e"]).otherwise(0)), F.greatest)
+    free = lambda found: let(reach(found), lambda upto: F.filter(found, lambda x, i: (x["other"] == 0) & (F.get(upto, i) <= x["s"])))
+    back = lambda found: F.array_sort(F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["v"].alias("v"))))
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(back(let(events, free)))
 
 
 def with_spans(df: DataFrame, text: Column) -> DataFrame:
     """df with _base (sorted spans of the base kinds) and _more (opaque tokens outside them)."""
-    yes = lambda m, v: F.lit(True)
     df = df.withColumn("_t", F.coalesce(text, F.lit("")))
     t = F.col("_t")
-    looks = lambda m, v: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
+    looks = lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
     df = df.withColumn("_base", F.array_sort(F.concat(
-        _spans(t, ASSIGN, 0, lambda m, v: F.length(v) >= 12, value=2),
-        _spans(t, ACCESS_LONG, 1, yes),
-        _spans(t, HEX_LONG, 2, yes),
+        _spans(t, ASSIGN, 0, lambda v: F.length(v) >= 12, value=2),
+        _spans(t, ACCESS_LONG, 1),
+        _spans(t, HEX_LONG, 2),
     )))
-    more = _spans(t, OPAQUE, 3, looks)
-    free = lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return df.withColumn("_more", F.filter(more, free)).drop("_t")
+    df = df.withColumn("_more", _spans(t, OPAQUE, 3, looks))
+    return df.withColumn("_more", _apart(F.col("_more"), F.col("_base"))).drop("_t")
 
 
 def _text_of(spans: Column) -> Column:
@@ -107,6 +107,16 @@ def scan_secrets(df: DataFrame, text_col: str = "text", owner_col: str = "source
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], *[r.alias(n) for r, n in zip(results, names, strict=True)])
 
 
+def _united(spans: Column, mark: str) -> Column:
+    """Spans in order that overlap, as one piece each with the mark to put there; spans that only touch stay apart."""
+    def pieces(found: Column, upto: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: (i == 0) | (F.get(found, i)["s"] >= F.get(upto, i - 1)))
+        piece = lambda i, k, of: F.struct(F.get(found, i)["s"].alias("start"), F.get(upto, F.coalesce(F.get(of, k + 1), F.size(found)) - 1).alias("end"), F.lit(mark).alias("put"))
+        return let(firsts, lambda of: F.transform(of, lambda i, k: piece(i, k, of)))
+
+    return let(spans, lambda found: let(running(F.transform(found, lambda x: x["e"]), F.greatest), lambda upto: pieces(found, upto)))
+
+
 def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """df with every reported span of its text replaced; the columns stay as they were.
 
@@ -119,10 +129,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
     renamed = {k: tuple(f"_c{cols.index(c)}" for c in v) if isinstance(v, tuple) else f"_c{cols.index(v)}" for k, v in {"owner_col": options.pop("owner_col", "source"), "repository_cols": options.pop("repository_cols", ("source", "lang"))}.items()}
     some = scan_secrets(plain.filter(any_candidate), at, keep_cols=plain.columns, **renamed, **options)
     text, spans = F.col(at), F.col("_spans")
-    # Spans may overlap: a span is cut back to where the ones before it ended; what lies between them is kept.
-    step = lambda a, x: F.struct(F.greatest(a["end"], x["e"]).alias("end"), F.when(x["e"] <= a["end"], a["out"]).otherwise(F.concat(a["out"], F.when(x["s"] >= a["end"], F.concat(F.substring(text, a["end"] + 1, x["s"] - a["end"]), F.lit(mark))).otherwise(F.lit("")))).alias("out"))
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), step)
-    clean = F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["end"] + 1, F.length(text))))
+    clean = F.when(F.size(spans) == 0, text).otherwise(splice(text, _united(spans, mark)))
     changed = some.withColumn(at, clean).select(*plain.columns)
     return plain.filter(~any_candidate).unionAll(changed).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)])
 
