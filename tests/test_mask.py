@@ -106,6 +106,33 @@ def test_mapping_file(spark, tmp_path):
         M.load_mapping(spark, str(path)).collect()
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_a_saved_mapping_is_found_again_and_resumed(spark, tmp_path, scheme):
+    path = f"{scheme}{tmp_path}/new folder/map.json"
+    settings = Settings(("email",))
+    for texts, want in ((["a@b.com"], {"EPOSTA_1": "a@b.com"}), (["c@d.com a@b.com"], {"EPOSTA_1": "a@b.com", "EPOSTA_2": "c@d.com"})):
+        m = mask(frame(spark, texts), "text", "id", settings=settings, mapping=M.load_mapping(spark, path))
+        M.save_mapping(m.mapping, path)
+        m.release()
+        assert json.loads((tmp_path / "new folder" / "map.json").read_text(encoding="utf-8"))["values"] == want
+    assert [p.name for p in (tmp_path / "new folder").iterdir()] == ["map.json"]  # nothing is left beside it
+    (tmp_path / "new folder" / "map.json").write_text('{"values": {"EPOSTA_7": "by@hand.org"}}')
+    assert [r["value"] for r in M.load_mapping(spark, path).collect()] == ["by@hand.org"]
+
+
+def test_columns_of_the_input_stay(spark):
+    mapping = M.from_pairs(spark.createDataFrame([("EPOSTA_1", "old@x.org")], "placeholder string, value string"))
+    df = spark.createDataFrame([(1, "mail a@b.com", "k", 5, "m", "p", "r", 2, "s", "x")], "id int, text string, _key string, _hash int, Masked string, _pieces string, report string, n_masked int, summary string, `odd.name` string")
+    m = mask(df, "text", "id", mapping=mapping)
+    assert m.df.columns == [*df.columns, "masked_", "report_", "n_masked_", "summary_"]
+    row = m.df.first()
+    assert tuple(row)[:10] == tuple(df.first()) and row["masked_"] == "mail EPOSTA_2" and row["n_masked_"] == 1
+    back = restore(m.df, "masked_", "id", m.mapping)
+    assert back.columns == [*m.df.columns, "restored", "n_restored"] and back.first()["restored"] == "mail a@b.com"
+    assert restore(back, "masked_", "id", m.mapping).columns[-2:] == ["restored_", "n_restored_"]
+    assert has_restorable(back, "masked_", "id", m.mapping).first()["restorable"]
+
+
 def test_missing_and_repeated_keys_leak_nothing(spark):
     rows = [(None, "a@b.com"), (None, "x c@d.com"), (1, "y e@f.org a@b.com"), (1, "e@f.org"), (1, "e@f.org"), (None, None), (2, "plain")]
     m = mask(spark.createDataFrame(rows, "id bigint, text string"), "text", "id", mapping=None)

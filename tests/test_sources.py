@@ -74,6 +74,52 @@ def test_pdf_layers_and_scans():
         documents.document_text("x.pdf", b"not a pdf")
 
 
+def composite_file(text, table=True, packed=False, simple=""):
+    """Two-byte codes that are no characters; their table, if any, in a stream of its own; objects in a packed stream or plain."""
+    codes = {c: 3 + i for i, c in enumerate(dict.fromkeys(text))}
+    pairs = list(codes.items())
+    chars = "".join(f"<{n:04X}> <{c.encode('utf-16-be').hex()}>\n" for c, n in pairs[::2])
+    ranges = "".join(f"<{n:04X}> <{n:04X}> " + (f"<{c.encode('utf-16-be').hex()}>\n" if n % 4 else f"[<{c.encode('utf-16-be').hex()}>]\n") for c, n in pairs[1::2])
+    cmap = f"begincmap\n{len(pairs)} beginbfchar\n{chars}endbfchar\n1 beginbfrange\n{ranges}endbfrange\nendcmap".encode()
+    shown = "".join(f"{codes[c]:04X}" for c in text)
+    content = f"BT /F1 12 Tf 40 700 Td <{shown}> Tj ET BT /F2 9 Tf ({simple}) Tj ET".encode()
+    objects = {3: b"<< /Type /Page /Resources << /Font << /F1 5 0 R /F2 7 0 R >> >> /Contents 4 0 R >>", 5: b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H" + (b" /ToUnicode 6 0 R" if table else b"") + b" >>", 7: b"<< /Type /Font /Subtype /Type1 >>"}
+    streams = {4: content, 6: cmap}
+    out = b"%PDF-1.5\n"
+    if packed:
+        bodies = list(objects.values())
+        starts = [sum(len(x) + 1 for x in bodies[:i]) for i in range(len(bodies))]
+        head = " ".join(f"{n} {a}" for n, a in zip(objects, starts)).encode() + b" "
+        data = zlib.compress(head + b" ".join(bodies))
+        out += b"9 0 obj\n<< /Type /ObjStm /N 3 /First %d /Filter /FlateDecode >>\nstream\n" % len(head) + data + b"\nendstream\nendobj\n"
+    else:
+        out += b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items())
+    return out + b"".join(b"%d 0 obj\n<< /Filter /FlateDecode >>\nstream\n%s\nendstream\nendobj\n" % (n, zlib.compress(x)) for n, x in streams.items()) + b"%%EOF\n"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_composite_fonts_are_read_or_warned_of(packed):
+    line = "Müşteri kaydı tckn 10000000146 e-posta a.b@example.com"
+    read = documents.document_text("x.pdf", composite_file(line, packed=packed))
+    assert read == line + "\n\n" and pdf.page_count(composite_file(line, packed=packed)) == 1
+    blind = documents.document_text("x.pdf", composite_file(line, table=False, packed=packed))
+    assert blind.endswith(pdf.NOTE_WARNING) and pdf.needs_ocr(pdf.extract_text(composite_file(line, table=False, packed=packed)))
+    partly = documents.document_text("x.pdf", composite_file(line, table=False, packed=packed, simple="a text layer of some length"))
+    assert "a text layer of some length" in partly and partly.endswith(pdf.NOTE_PARTLY)
+    engine, renderer = lambda b: [ocr.Recognized("seen")], lambda c, n: [b"1"]
+    assert documents.document_text("x.pdf", composite_file(line, table=False), engine, renderer) == "seen" + pdf.NOTE_OCR
+
+
+def test_control_characters_are_no_text_layer():
+    codes = "".join(f"\\{i:03o}" for i in range(1, 32) if i not in (9, 10, 13))
+    assert "WARNING" in documents.document_text("x.pdf", pdf_file(codes))
+
+
+def test_unread_pictures_are_told():
+    assert "word/media/image1.png" in documents.document_text("x.docx", DOCX)
+    assert "WARNING" not in documents.document_text("x.docx", DOCX, lambda b: [ocr.Recognized("seen")])
+
+
 def test_read_documents(spark, tmp_path):
     for name, data in {"a.txt": "düz metin".encode(), "b.csv": b"ad,tckn\nAli,10000000146\n", "bad.txt": b"\xff\xfe", "c.docx": DOCX, "broken.docx": b"text", "d.pdf": pdf_file("A text layer that is long enough"), "e.png": b"\x89PNG", "empty.md": b""}.items():
         (tmp_path / name).write_bytes(data)

@@ -23,13 +23,13 @@ def check_path(path: str, roots: tuple[str, ...] = ()) -> Path:
     resolved = Path(os.path.realpath(os.path.join(os.getcwd(), path)))
     for p in (asked, resolved):
         if p.parts[:2] in (("/", "dev"), ("/", "proc")):
-            raise Refused(f"{path} is a device path; restored values must go to a real file")
+            raise Refused(f"{path} leads to a device or a process; only files on disk are written")
     if resolved.exists():
         mode = resolved.stat().st_mode
         if not (stat.S_ISREG(mode) or stat.S_ISDIR(mode)):
-            raise Refused(f"{path} is not a regular file; writing restored values to a device would put them straight into the conversation")
+            raise Refused(f"{path} is a pipe, socket or the like; only files on disk are written, so that nobody reads values from it")
     if roots and not any(resolved.is_relative_to(os.path.realpath(r)) for r in roots):
-        raise Refused(f"path {path} is outside the allowed roots")
+        raise Refused(f"{path} lies under none of the allowed roots")
     return resolved
 
 
@@ -37,8 +37,8 @@ def check_writable_format(path: str | Path, whole: bool) -> None:
     """Pictures and PDFs can't be written; an Office document can be edited, but not replaced as a whole."""
     kind = formats.format_of(str(path))
     if kind == "image":
-        raise Refused(f"{path} is an image: its text is pixels, so masking it is one-way and there is nothing to write back; edit the source document instead")
+        raise Refused(f"{path} is a picture, and pictures are only read; change the file it was made from")
     if kind == "pdf":
-        raise Refused(f"{path} is a PDF: its layout can't be rebuilt from text; edit the source document instead")
+        raise Refused(f"{path} is a PDF, and PDFs are only read; change the file it was made from")
     if kind == "ooxml" and whole:
-        raise Refused(f"{path} is an OOXML document; use edit_restored to change its text, which rewrites it in place and keeps its formatting")
+        raise Refused(f"{path} is an Office document and would lose its markup; use edit_restored for single changes")

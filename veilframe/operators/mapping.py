@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
-from pathlib import Path
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,35 +38,58 @@ def from_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select("placeholder", "value", kind.alias("kind"), F.when(kind.isNotNull(), index.cast("bigint")).alias("idx"))
 
 
+def _file(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that has it; both loading and saving go through it, whatever its scheme."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(os.path.expanduser(path))
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, system.makeQualified(at)
+
+
 def load_mapping(spark: SparkSession, path: str) -> DataFrame:
     """The mapping in a JSON file {"values": {placeholder: value}}; empty if there is none, an error if it can't be read as such."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    system, at = _file(spark, path)
+    if not system.exists(at):
         return empty_mapping(spark)
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<values:map<string,string>>", {"mode": "FAILFAST"}).alias("j"))
+    parsed = spark.read.text(at.toString(), wholetext=True).select(F.from_json("value", "struct<values:map<string,string>>", {"mode": "FAILFAST"}).alias("j"))
     return from_pairs(parsed.select(F.explode("j.values").alias("placeholder", "value")))
 
 
 def save_mapping(mapping: DataFrame, path: str) -> None:
-    """Write the mapping as that JSON file, readable by its owner alone, replacing an older one at once.
+    """Write the mapping as that JSON file, readable by its owner alone, in place of an older one once it is complete.
 
     The file is one document for people and small tools; a large mapping is better kept as a table.
     """
-    target = Path(path).expanduser()
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, temp = tempfile.mkstemp(dir=target.parent, prefix=".mapping-")  # created with mode 0600
+    spark = mapping.sparkSession
+    jvm = spark.sparkContext._jvm
+    system, target = _file(spark, path)
+    temp = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".mapping-{uuid.uuid4().hex}")
+    private = jvm.org.apache.hadoop.fs.permission.FsPermission("600")
+    if system.getScheme() == "file":
+        system = system.getRaw()  # no checksum beside it, so that the file can be edited by hand
+    system.mkdirs(target.getParent())
     try:
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            f.write('{\n  "values": {')
-            comma = ""
+        created = system.create(temp, private, True, 1 << 16, system.getDefaultReplication(temp), system.getDefaultBlockSize(temp), None)
+        system.setPermission(temp, private)
+        out = jvm.java.io.OutputStreamWriter(created, "UTF-8")
+        try:
+            parts, comma = ['{\n  "values": {'], ""
             for r in mapping.select("placeholder", "value").orderBy("placeholder").toLocalIterator():
-                f.write(f"{comma}\n    {json.dumps(r['placeholder'], ensure_ascii=False)}: {json.dumps(r['value'], ensure_ascii=False)}")
+                parts.append(f"{comma}\n    {json.dumps(r['placeholder'], ensure_ascii=False)}: {json.dumps(r['value'], ensure_ascii=False)}")
                 comma = ","
-            f.write("\n  }\n}")
-        os.replace(temp, target)
+                if len(parts) == 1000:
+                    out.write("".join(parts))
+                    parts = []
+            out.write("".join([*parts, "\n  }\n}"]))
+        finally:
+            out.close()
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        option = jvm.org.apache.hadoop.fs.Options.Rename
+        options = spark.sparkContext._gateway.new_array(option, 1)
+        options[0] = option.OVERWRITE
+        files.rename(temp, target, options)
     except BaseException:
-        Path(temp).unlink(missing_ok=True)
+        system.delete(temp, False)
         raise
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.names import free_names
 from veilframe.functions.offsets import find_all
 from veilframe.functions.patterns import PLACEHOLDER
 from veilframe.functions.validators import let
@@ -69,23 +70,36 @@ def _reported(pieces: Column) -> Column:
     return F.transform(by_place, lambda p: F.struct(p["put"].alias("placeholder"), p["kind"].alias("kind")))
 
 
-def _with_pieces(df: DataFrame, pieces: DataFrame, key: str, text_col: str) -> DataFrame:
+def _numbered(df: DataFrame, text_col: str, *others: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns under numbers, so that none clashes with a name used here: _c0, _c1, ...; and those of the named ones."""
+    cols = df.columns
+    return df.toDF(*[f"_c{i}" for i in range(len(cols))]), [f"_c{cols.index(c)}" for c in (text_col, *others)]
+
+
+def _with_pieces(df: DataFrame, pieces: DataFrame, key: str, text: str) -> DataFrame:
     """df with what its rows found, by key and text."""
-    same = df[key].eqNullSafe(pieces["_key"]) & (F.xxhash64(df[text_col]) == pieces["_hash"])
+    same = df[key].eqNullSafe(pieces["_key"]) & (F.xxhash64(df[text]) == pieces["_hash"])
     return df.join(pieces, same, "left").drop("_key", "_hash")
 
 
+def _renamed(out: DataFrame, cols: list[str], *results: str) -> DataFrame:
+    """The columns under their own names again, then the results; one whose name is taken gets an underscore after it."""
+    names = zip(results, free_names(cols, *results), strict=True)
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], *[F.col(r).alias(n) for r, n in names])
+
+
 def mask(df: DataFrame, text_col: str, key: str, order_col: str | None = None, settings: Settings | None = None, mapping: DataFrame | None = None) -> Masked:
     """Mask a column of texts. order_col (default: key) is the order in which values count as first seen.
 
     Only values travel: the new ones by value for their numbers, then each row's with its key. The last join is on the
     key and a hash of the text, nulls included, so that a missing or repeated key can neither leave a text unmasked nor
-    mix two texts; rows that repeat another share its matches.
+    mix two texts; rows that repeat another share its matches. All columns of df stay; a result whose name one of them
+    has gets an underscore after it.
     """
-    spark = df.sparkSession
+    spark, cols = df.sparkSession, df.columns
     known = mapping if mapping is not None else M.empty_mapping(spark)
-    order_col = order_col or key
-    found = df.select(F.col(key).alias("_key"), F.xxhash64(text_col).alias("_hash"), F.col(order_col).alias("ord"), F.posexplode(detect(F.col(text_col), settings)).alias("pos", "m"))
+    df, (text, key, order) = _numbered(df, text_col, key, order_col or key)
+    found = df.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(order).alias("ord"), F.posexplode(detect(F.col(text), settings)).alias("pos", "m"))
     found = found.select("_key", "_hash", "ord", "pos", F.col("m.start").alias("start"), (F.col("m.start") - F.col("m.neg_length")).alias("end"), F.col("m.kind_ord").alias("kind_ord"), F.col("m.value").alias("value")).persist()
     cached = [found]
     fresh = M.mint(found, known, cached).persist()
@@ -96,11 +110,12 @@ def mask(df: DataFrame, text_col: str, key: str, order_col: str | None = None, s
     # adaptive execution can split a value that is in a large share of them.
     placeholder = M.by_value(known).unionByName(fresh.select("value", "placeholder"))
     pieces = found.join(placeholder, "value").groupBy("_key", "_hash").agg(F.array_sort(F.collect_set(piece)).alias("_pieces"))
-    out = _with_pieces(df, pieces, key, text_col)
+    out = _with_pieces(df, pieces, key, text)
     none = F.array().cast("array<struct<pos:int,start:int,end:int,kind:string,put:string>>")
     out = out.withColumn("_pieces", F.coalesce("_pieces", none))
-    out = out.withColumn("masked", F.when(F.size("_pieces") == 0, F.col(text_col)).otherwise(splice(F.col(text_col), F.col("_pieces")))).withColumn("report", _reported(F.col("_pieces")))
-    return Masked(out.drop("_pieces").withColumn("n_masked", F.size("report")).withColumn("summary", summary(F.col("report"))), total, fresh, tuple(cached))
+    out = out.withColumn("masked", F.when(F.size("_pieces") == 0, F.col(text)).otherwise(splice(F.col(text), F.col("_pieces")))).withColumn("report", _reported(F.col("_pieces")))
+    out = out.withColumn("n_masked", F.size("report")).withColumn("summary", summary(F.col("report")))
+    return Masked(_renamed(out, cols, "masked", "report", "n_masked", "summary"), total, fresh, tuple(cached))
 
 
 def placeholders(text: Column) -> Column:
@@ -110,20 +125,25 @@ def placeholders(text: Column) -> Column:
 
 def restore(df: DataFrame, text_col: str, key: str, mapping: DataFrame) -> DataFrame:
     """df with restored (known placeholders give way to their values) and n_restored, the number of places."""
-    found = df.select(F.col(key).alias("_key"), F.xxhash64(text_col).alias("_hash"), F.posexplode(placeholders(F.col(text_col))).alias("pos", "m"))
+    cols = df.columns
+    df, (text, key) = _numbered(df, text_col, key)
+    found = df.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.posexplode(placeholders(F.col(text))).alias("pos", "m"))
     found = found.select("_key", "_hash", "pos", F.col("m.start").alias("start"), (F.col("m.start") - F.col("m.neg_length")).alias("end"), F.col("m.value").alias("placeholder"))
     piece = F.struct("pos", "start", "end", F.col("value").alias("put"))
     pieces = found.join(mapping.select("placeholder", "value"), "placeholder").groupBy("_key", "_hash").agg(F.array_sort(F.collect_set(piece)).alias("_pieces"))
-    out = _with_pieces(df, pieces, key, text_col)
-    count = F.when(F.col(text_col).isNotNull(), F.coalesce(F.size("_pieces"), F.lit(0)))
-    return out.withColumn("restored", F.when(F.col("_pieces").isNull(), F.col(text_col)).otherwise(splice(F.col(text_col), F.col("_pieces")))).withColumn("n_restored", F.when(F.col("_pieces").isNull() & F.col(text_col).isNotNull(), 0).otherwise(count)).drop("_pieces")
+    out = _with_pieces(df, pieces, key, text)
+    count = F.when(F.col(text).isNotNull(), F.coalesce(F.size("_pieces"), F.lit(0)))
+    out = out.withColumn("restored", F.when(F.col("_pieces").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_pieces")))).withColumn("n_restored", F.when(F.col("_pieces").isNull() & F.col(text).isNotNull(), 0).otherwise(count))
+    return _renamed(out, cols, "restored", "n_restored")
 
 
 def has_restorable(df: DataFrame, text_col: str, key: str, mapping: DataFrame) -> DataFrame:
     """df with restorable: whether a known placeholder is in the text."""
-    found = df.select(F.col(key).alias("_key"), F.xxhash64(text_col).alias("_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(PLACEHOLDER_IN_TEXT), F.lit(0)))).alias("placeholder"))
+    cols = df.columns
+    df, (text, key) = _numbered(df, text_col, key)
+    found = df.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(PLACEHOLDER_IN_TEXT), F.lit(0)))).alias("placeholder"))
     hits = found.join(mapping.select("placeholder"), "placeholder", "left_semi").select("_key", "_hash").distinct().withColumn("restorable", F.lit(True))
-    return _with_pieces(df, hits, key, text_col).withColumn("restorable", F.coalesce("restorable", F.lit(False)))
+    return _renamed(_with_pieces(df, hits, key, text).withColumn("restorable", F.coalesce("restorable", F.lit(False))), cols, "restorable")
 
 
 def edit(text: Column, old: Column, new: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import tempfile
 import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
@@ -13,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.folders import new_path
 from veilframe.functions import patterns as P
 from veilframe.functions import validators as V
 from veilframe.kinds import Settings
 from veilframe.operators import mapping as M
 from veilframe.operators.detect import candidates, detect, kind_name, matches, resolve_overlaps
-from veilframe.operators.mask import edit, has_restorable, mask, restore
+from veilframe.operators.mask import Masked, edit, has_restorable, mask, restore
 from veilframe.plans import oracles as O
 from veilframe.sources import documents as D
 from veilframe.sources import formats, ooxml, pdf
@@ -169,8 +169,15 @@ def _overlap_resolution(spark, sf_dir):
 _CONTACT_HITS = f"WITH RECURSIVE {O.detected(TEXTS['documents'][1], CONTACTS)}"
 
 
-def _masked(spark: SparkSession, sf_dir: str, settings: Settings = CONTACTS, text: str = "documents", mapping: DataFrame | None = None):
-    return mask(TEXTS[text][0](spark, sf_dir), "t", "key", settings=settings, mapping=mapping)
+_last: list[Masked] = []
+
+
+def _masked(spark: SparkSession, sf_dir: str, settings: Settings = CONTACTS, text: str = "documents", mapping: DataFrame | None = None) -> Masked:
+    """What a query masks stays cached until another query masks; a query that goes on from another's mapping keeps both."""
+    while mapping is None and _last:
+        _last.pop().release()
+    _last.append(mask(TEXTS[text][0](spark, sf_dir), "t", "key", settings=settings, mapping=mapping))
+    return _last[-1]
 
 
 @_query("mint_first_seen", f"{_CONTACT_HITS}, {O.minted()} SELECT * FROM mapping")
@@ -201,7 +208,7 @@ def _value_keyed_mapping(spark, sf_dir):
 
 @_query("mapping_file_round_trip", f"{_CONTACT_HITS}, {O.minted()} SELECT * FROM mapping")
 def _mapping_file_round_trip(spark, sf_dir):
-    path = f"{tempfile.mkdtemp(prefix='veilframe-')}/mapping.json"
+    path = f"{new_path(spark, 'mapping')}/mapping.json"
     M.save_mapping(_masked(spark, sf_dir).mapping, path)
     return M.load_mapping(spark, path)
 
@@ -274,8 +281,8 @@ def _has_restorable(spark, sf_dir):
 
 
 def _edit_sql(old: str) -> str:
-    n = f"((length(text) - length(replace(text, {old}, ''))) // length({old}))::BIGINT"
-    return f"SELECT conv_id, turn, {n} AS occurrences, CASE WHEN {n} = 0 THEN 'not found' WHEN {n} > 1 THEN 'ambiguous' ELSE 'edited' END AS status, CASE WHEN {n} = 1 THEN replace(text, {old}, 'EDITED') ELSE text END AS edited FROM conversations"
+    n = f"(CASE WHEN text IS NULL OR {old} IS NULL OR {old} = '' THEN 0 ELSE (length(text) - length(replace(text, {old}, ''))) // length({old}) END)::BIGINT"
+    return f"SELECT conv_id, turn, {n} AS occurrences, CASE WHEN {old} = '' THEN 'empty' WHEN {n} = 0 THEN 'not found' WHEN {n} > 1 THEN 'ambiguous' ELSE 'edited' END AS status, CASE WHEN {n} = 1 THEN replace(text, {old}, 'EDITED') ELSE text END AS edited FROM conversations"
 
 
 for _name, _old, _sql in (("edit_unique", lambda: F.col("text"), "text"), ("edit_ambiguous", lambda: F.lit("e "), "'e '"), ("edit_missing", lambda: F.lit("no such words"), "'no such words'"), ("edit_by_role", lambda: F.concat(F.substring("role", 1, 2), F.lit("")), "substr(role, 1, 2)")):
@@ -284,7 +291,7 @@ for _name, _old, _sql in (("edit_unique", lambda: F.col("text"), "text"), ("edit
         return e.select("conv_id", "turn", F.col("e.occurrences").cast("bigint").alias("occurrences"), "e.status", "e.edited")
 
     QUERIES[_name] = _edit
-    ORACLES[_name] = _edit_sql(_sql) + " WHERE text <> ''"
+    ORACLES[_name] = _edit_sql(_sql)
 
 
 # Document formats: files made from the documents, in memory, then read.
@@ -313,6 +320,16 @@ def make_pdf(text: str) -> bytes:
     return b"%PDF-1.4\n3 0 obj\n<< /Type /Page /Contents 4 0 R >>\nendobj\n4 0 obj\n" + f"<< /Length {len(stream)} >>".encode() + b"\nstream\n" + stream + b"\nendstream\nendobj\n%%EOF\n"
 
 
+def make_composite_pdf(text: str, table: bool) -> bytes:
+    """The same page in a composite font whose codes are no characters, with or without the table that says what they are."""
+    body = [c if c.isalnum() and c.isascii() else " " for c in text]
+    code = {c: n for n, c in enumerate(sorted(set(body)), 1)}
+    stream = ("BT /F1 12 Tf <" + "".join(f"{code[c]:04X}" for c in body) + "> Tj ET").encode()
+    cmap = ("begincmap 1 beginbfchar " + " ".join(f"<{n:04X}> <{ord(c):04X}>" for c, n in code.items()) + " endbfchar endcmap").encode()
+    parts = [b"<< /Type /Page /Resources << /Font << /F1 5 0 R >> >> /Contents 4 0 R >>", b"<< >>\nstream\n" + stream + b"\nendstream", b"<< /Type /Font /Subtype /Type0" + b" /ToUnicode 6 0 R" * table + b" >>", b"<< >>\nstream\n" + cmap + b"\nendstream"]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in enumerate(parts, 3)) + b"%%EOF\n"
+
+
 _LINES = "list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')"
 
 
@@ -336,6 +353,16 @@ def _pdf_warning(spark, sf_dir):
     return _made(spark, sf_dir, make_pdf, lambda t, b: ("WARNING" in D.document_text("x.pdf", b),), "key bigint, warned boolean")
 
 
+@_query("pdf_composite", "SELECT doc_id AS key, length(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]', '', 'g'))::BIGINT AS readable, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 16 AS warned, coalesce(text, '') <> '' AS warned_without FROM documents")
+def _pdf_composite(spark, sf_dir):
+    """Characters read with the font's table; whether the file is warned of with it, and without it."""
+    def look(text: str, made: bytes) -> tuple:
+        blind = D.document_text("x.pdf", make_composite_pdf(text, False))
+        return sum(c.isalnum() for c in pdf.extract_text(made)), "WARNING" in D.document_text("x.pdf", made), bool(text) and "WARNING" in blind
+
+    return _made(spark, sf_dir, lambda t: make_composite_pdf(t, True), look, "key bigint, readable bigint, warned boolean, warned_without boolean")
+
+
 # Streaming.
 
 _EVENT = "concat('user u', cast(user_id AS STRING), '@example.com did ', event_type)"
@@ -346,8 +373,7 @@ _spelled("events", "events", "event_id", _EVENT)
 def _stream_mask_events(spark, sf_dir):
     from veilframe.streaming.mask_stream import mask_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilframe-")
-    at = f"{base.rstrip('/')}/stream-{id(object())}-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.System.nanoTime()}"
+    at = new_path(spark, "stream")
     source = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).selectExpr("event_id AS key", f"{_EVENT} AS t")
     mask_stream(stream, "t", "key", "key", f"{at}/mapping", f"{at}/out", f"{at}/checkpoint", EMAIL).awaitTermination()
