@@ -172,5 +172,6 @@ def test_one_row_of_each_component_stays(spark):
     df = spark.createDataFrame(rows, DOCS)
     out = S.drop_near_duplicates(df)
     assert out.columns == df.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, S.drop_near_duplicates(df, broadcast_rows=0).collect()))
     assert sorted((r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"] is not None) == [(3, "same text of several words"), (8, None)]
     assert out.count() == 3 and S.drop_near_duplicates(df.limit(0)).count() == 0 and S.near_duplicates(df.limit(0)).count() == 0

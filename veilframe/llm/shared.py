@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Between words: ASCII white space only, so that the JVM, Python's bytes.split and SQL agree.
-SPACES = r"[\x20\x09-\x0D]+"
-_own_folder: list[str] = []
+from veilframe import folders
+from veilframe.functions.names import free_names, named
 
+__all__ = ["SPACES", "chunks", "documents", "drop_path", "free_names", "made_since", "materialize", "named", "new_path", "release", "words"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this process where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="veilframe-"))
-        spark.sparkContext.setCheckpointDir(_own_folder[0])
-    return _own_folder[0]
+#: Between words: ASCII white space only, so that the JVM, Python's bytes.split and SQL agree.
+SPACES = r"[\x20\x09-\x0D]+"
+#: Tables stored by this process and not yet dropped, oldest first.
+_made: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/veilframe-{name}-{uuid.uuid4().hex}"
+    _made.append(folders.new_path(spark, name))
+    return _made[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -39,27 +32,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def made_since(count: int = 0) -> list[str]:
+    """Paths of the tables stored after the first `count` of those that are still there."""
+    return _made[count:]
 
 
-def named(column: str) -> Column:
-    """The column of that very name, whatever characters it has."""
-    return F.col("`" + column.replace("`", "``") + "`")
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Drop stored tables once nothing is read from them any more."""
+    for path in paths:
+        drop_path(spark, path)
 
 
-def free_names(cols: list[str], *wanted: str) -> list[str]:
-    """The wanted names, each with underscores until it clashes with none of cols (names compare without case)."""
-    taken = {c.lower() for c in cols}
-    out = []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def chunks(batch, column: str, most: int = 8 << 20):

@@ -322,16 +322,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), F.col("_first").alias("component_id"))
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """df with one row of each component: that of the least id, null ids last, the first stored among equal ids."""
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, broadcast_rows: int = 1 << 20) -> DataFrame:
+    """df with one row of each component: that of the least id, null ids last, the first stored among equal ids.
+
+    The rows that go are found by number, and leave the stored rows by an anti join: at most `broadcast_rows` numbers are
+    sent to every executor, so that no text moves; more are joined by a shuffle.
+    """
     cols = df.columns
     plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)])
     at, key = (f"_c{cols.index(c)}" for c in (text_col, id_col))
     stored = materialize(with_fingerprints(plain.withColumn("_text", F.col(at)), "_text", shingle).withColumn("_row", F.monotonically_increasing_id()), "simhash")
     first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row"))
     rows = stored.select(key, "_fp", "_row")
-    kept = _components(rows, radius, first).select(F.col("_first.row").alias("_row")).distinct()
-    return stored.join(materialize(kept, "kept").hint("merge"), "_row").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)])
+    go = rows.join(_components(rows, radius, first).hint("merge"), "_fp").filter("_row <> _first.row").select("_row")
+    go = materialize(go, "copies")
+    go = F.broadcast(go) if go.count() <= broadcast_rows else go.hint("merge")
+    return stored.join(go, "_row", "left_anti").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
