@@ -13,7 +13,7 @@ from veilframe.llm.decontaminate import benchmark_hits
 from veilframe.llm.packing import best_fit_packing
 from veilframe.llm.quality_rules import quality_rules
 from veilframe.llm.secrets import redact_secrets
-from veilframe.llm.shared import materialize
+from veilframe.llm.shared import made_since, materialize, release
 from veilframe.llm.simhash import drop_near_duplicates
 
 
@@ -64,7 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The result of the last stage. What a stage stores on its way goes as soon as its rows are stored."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(made_since())
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(spark, made_since(before)[:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
