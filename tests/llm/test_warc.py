@@ -2,6 +2,7 @@ import glob
 import gzip
 import hashlib
 import random
+import re
 
 from veilframe.llm import warc as W
 
@@ -35,6 +36,19 @@ def test_round_trip(spark, tmp_path):
     assert {r["payload_digest"] for r in got if r["page_id"] == 5} == {hashlib.sha1(b"small").hexdigest()}
     data = b"".join(gzip.decompress(open(f, "rb").read()) for f in glob.glob(f"{path}/part-*"))
     assert data.count(b"WARC-Type: ") == len(rows) and BIG.encode() in data
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", data)
+    assert len(set(ids)) == len(rows)
+
+
+def test_many_short_runs_merge_in_any_ranges(spark):
+    rng = random.Random(3)
+    rows = [(f"u{rng.randrange(50)}", f"t{rng.randrange(4)}", rng.choice([None, rng.randrange(1000)]), 5, "d", "response", None) for _ in range(3000)]
+    runs = []
+    for run in range(60):
+        runs += [(run, i, *r) for i, r in enumerate(sorted(rows[run::60], key=W.order))]
+    df = spark.createDataFrame(runs, W.RUN).repartition(5)
+    for options in ({}, {"ranges": 1}, {"range_bytes": 20_000}):
+        assert [tuple(r)[:3] for r in W.merged_index(df, **options).collect()] == [r[:3] for r in sorted(rows, key=W.order)]
 
 
 def test_empty_table(spark):

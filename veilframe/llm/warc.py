@@ -10,8 +10,11 @@ The runs are stored, dealt into ranges of that key, and in each range merged by
 Payloads of `least` bytes or more that occur more than once are stored once: the capture with the largest page id is
 the response, the others are revisits of it. Only digests are grouped; records travel compressed.
 
+The rows have no time of capture, so one is made from the page id: so many seconds after the start of 2024, modulo
+1,000,000,000; null counts as 0. Equal times of one URL are ordered by page id.
+
 Defined cases: null html is an empty payload, a null url an empty key; a null page id is never a response while the
-group has an id; repeated rows of the responding page are responses too; an empty table gives empty archives.
+group has an id; repeated rows of the responding page are responses too, each a record with an id of its own; an empty table gives empty archives.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ import zlib
 from datetime import UTC, datetime, timedelta
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ from veilframe.llm.shared import chunks, materialize, named, new_path
 
 #: An empty gzip member, as the separator of members.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+#: Rows of a range's runs that are Python objects at a time, over all runs.
+HEADS = 20_000
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
 INDEX = "url_key string, captured string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 RUN = f"run bigint, seq int, {INDEX}"
@@ -47,16 +54,16 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + path
 
 
-def record_id(page: int | None, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page}/{url}')}>"
+def record_id(kind: str, page: int | None, url: str, number: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}/{page}/{number}/{url}')}>"
 
 
-def record(kind: str, page: int | None, url: str, captured: str, payload: bytes, n: int, sha1: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record as a gzip member; a revisit has the response's headers only."""
+def record(kind: str, page: int | None, url: str, captured: str, payload: bytes, n: int, sha1: str, refers_to: int | None, number: int) -> bytes:
+    """One WARC/1.1 record as a gzip member; a revisit has the response's headers only. number tells repeated rows apart."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page, url)}", f"WARC-Date: {captured}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(kind, page, url, number)}", f"WARC-Date: {captured}",
         f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Length: {n}", f"X-Page-ID: {'' if page is None else page}",
     ]
     if kind == "revisit":
@@ -92,22 +99,28 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     groups = plain.filter(F.octet_length("body") >= least).select("page", digest).groupBy("digest").agg(F.max("page").alias("winner"), F.count("*").alias("n")).filter("n > 1").select("digest", "winner")
 
     def records(batches):
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in chunks(batch, "body"):
                 rows = [(r["page"], r["url"], _captured(r["page"]), len(r["body"]), hashlib.sha1(r["body"]).hexdigest(), r["body"]) for r in part.to_pylist()]
-                out = [record("response", p, u, c, body, n, d, None) for p, u, c, n, d, body in rows]
+                out = [record("response", p, u, c, body, n, d, None, number + i) for i, (p, u, c, n, d, body) in enumerate(rows)]
+                number += len(rows)
                 yield pa.RecordBatch.from_arrays([part.column("page"), part.column("url"), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows]), pa.array(out, pa.binary())], names=["page", "url", "n", "digest", "member"])
 
     def settle(batches):
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 original = r["winner"] is None or r["winner"] == r["page"]
-                out.append(r["member"] if original else record("revisit", r["page"], r["url"], _captured(r["page"]), b"", r["n"], r["digest"], r["winner"]))
+                out.append(r["member"] if original else record("revisit", r["page"], r["url"], _captured(r["page"]), b"", r["n"], r["digest"], r["winner"], number))
+                number += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     made = plain.mapInArrow(records, "page bigint, url string, n bigint, digest string, member binary")
-    settled = made.join(groups.hint("merge"), "digest", "left").select("page", "url", "n", "digest", "member", "winner").mapInArrow(settle, "value binary")
+    # Small payloads have no other record to refer to, however often they occur: each gets a key of its own.
+    key = F.when(F.col("n") >= least, F.col("digest")).otherwise(F.monotonically_increasing_id().cast("string"))
+    settled = made.withColumn("key", key).join(groups.withColumnRenamed("digest", "key").hint("merge"), "key", "left").select("page", "url", "n", "digest", "member", "winner").mapInArrow(settle, "value binary")
     # The sink writes the bytes of the value as they are, whatever they decode to.
     settled.select(F.col("value").cast("string")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
@@ -117,8 +130,6 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     members = spark.read.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path).select(F.col("value").cast("binary").alias("member"))
 
     def runs(batches):
-        from pyspark import TaskContext
-
         task = TaskContext.get().partitionId()
         number = 0
         for batch in batches:
@@ -176,19 +187,33 @@ def merge_runs(runs: list):
         losers[0] = winner
 
 
-def merged_index(runs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """The runs (a stored table) as one globally ordered index: ranges in order, each merged from its runs."""
-    n = ranges or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartitionByRange(n, "url_key", "captured", "page_id").sortWithinPartitions("run", "seq")
+def merged_index(runs: DataFrame, ranges: int | None = None, range_bytes: int = 64 << 20) -> DataFrame:
+    """The runs (a stored table) as one globally ordered index: ranges in order, each merged from its runs.
+
+    By default there are so many ranges that one has about `range_bytes`. A range's runs are held as Arrow columns, and
+    only the next few rows of each as Python objects.
+    """
+    if ranges is None:
+        size = runs.agg(F.sum(F.coalesce(F.octet_length("url_key"), F.lit(0)) + 160)).first()[0] or 0
+        ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("run", "seq")
+
+    def feed(slices: list, most: int):
+        for part in slices:
+            for a in range(0, part.num_rows, most):
+                yield from zip(*[c.to_pylist() for c in part.slice(a, most).columns], strict=True)
 
     def merge(batches):
-        held: dict[int, list] = {}
+        held: dict[int, list[pa.RecordBatch]] = {}
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("run", *INDEX_NAMES)]
-            for run, *row in zip(*columns, strict=True):
-                held.setdefault(run, []).append(tuple(row))
+            run = batch.column("run").to_numpy()
+            cuts = (np.flatnonzero(run[1:] != run[:-1]) + 1).tolist()
+            columns = batch.select(INDEX_NAMES)
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if a < b:
+                    held.setdefault(int(run[a]), []).append(columns.slice(a, b - a))
         out: list = []
-        for row in merge_runs(list(held.values())):
+        for row in merge_runs([feed(x, max(1, HEADS // len(held))) for x in held.values()]):
             out.append(row)
             if len(out) == 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), INDEX_TYPES, strict=True)], names=INDEX_NAMES)
