@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -39,3 +40,50 @@ def test_defined_cases(spark):
     empty = df.limit(0)
     assert L.predict(empty, L.train(empty), keep_cols=["doc_id"]).count() == 0
     assert L.predict(df.limit(3), L.train(empty), keep_cols=["doc_id"]).collect()[0]["_language"]["lang_pred"] == "und"
+
+
+def test_blocks_train_the_same_model(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(lang, np.unique(L.grams(t), return_counts=True)) for lang, letters in (("a", "abcd"), ("b", "cdef"), ("c", "efgh")) for t in ("".join(rng.choice(list(letters + " "), 60)) for _ in range(40))]
+    rows = [(lang, *found) for lang, found in rows]
+    whole = L.fit(rows, rounds=20)
+    monkeypatch.setattr(L, "BLOCK", 17)
+    monkeypatch.setattr(L, "KEPT_BLOCKS", 2)
+    parts = L.fit(rows, rounds=20)
+    assert whole.weights == pytest.approx(parts.weights, rel=1e-3, abs=1e-3) and whole.trust == pytest.approx(parts.trust)
+    assert {whole.predict("abcd abba " * 9)[0], whole.predict("cdef fede " * 9)[0], whole.predict("hgfe hehe " * 9)[0]} == {"a", "b", "c"}
+
+
+def by_hand(model, text):
+    """Decoding written out from the model's numbers."""
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    if not letters.strip():
+        return "und", 0.0
+    found = [0] * (1 << L.BUCKET_BITS)
+    total = 0
+    for n in (1, 2, 3):
+        for i in range(len(letters) - n + 1):
+            x = 0
+            for k in range(n):
+                x = (x + (ord(letters[i + k]) + k) * int(L.MULTIPLIERS[k])) % (1 << 64)
+            x = ((x ^ (x >> 31)) * int(L.MULTIPLIERS[0])) % (1 << 64)
+            found[x >> (64 - L.BUCKET_BITS)] += 1
+            total += 1
+    used = [(i, c) for i, c in enumerate(found) if c]
+    bits = [b + sum(float(w[i]) * c for i, c in used) / total for w, b in zip(model.weights, model.bias)]
+    loss = [sum(t * math.log1p(math.exp(-c * f)) for c, f, t in zip(word, bits, model.trust)) for word in model.code]
+    p = [math.exp(min(loss) - x) for x in loss]
+    best = min(range(len(loss)), key=lambda i: loss[i])
+    return model.langs[best], p[best] / sum(p)
+
+
+def test_predictions_match_decoding_by_hand(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = L.train(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.op8(spark, d).collect()}
+    assert set(got) == set(texts)
+    for k, t in texts.items():
+        lang, score = by_hand(model, t)
+        assert got[k][0] == lang and got[k][1] == pytest.approx(score, abs=1e-3)

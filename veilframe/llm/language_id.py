@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.shared import chunks, documents, free_names, named
 
 BUCKET_BITS = 14
+#: Rows that are dense at a time in training (32 MB), and how many such blocks stay in memory, however many languages there are.
+BLOCK, KEPT_BLOCKS = 512, 4
 #: Odd multipliers, one for each position in an n-gram, and one that separates the lengths.
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 RESULT = "lang_pred string, score double, ambiguous boolean"
@@ -90,25 +92,35 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 150) -> Mo
     langs = sorted({r[0] for r in rows})
     if len(langs) < 2:
         return Model(langs, np.zeros((0, 1)), np.zeros(0), np.zeros(0))
-    x = np.zeros((len(rows), 1 << BUCKET_BITS), dtype=np.float32)
-    for i, (_, buckets, counts) in enumerate(rows):
-        x[i, buckets] = counts / counts.sum()
-    scale = 1 / np.sqrt((x ** 2).mean(axis=0) + 1e-8)
-    x *= scale
+    cuts = range(0, len(rows), BLOCK)
+
+    def dense(at: int) -> np.ndarray:
+        part = rows[at:at + BLOCK]
+        x = np.zeros((len(part), 1 << BUCKET_BITS), dtype=np.float32)
+        for i, (_, buckets, counts) in enumerate(part):
+            x[i, buckets] = counts / counts.sum()
+        return x * scale
+
+    scale = np.float32(1)
+    scale = (1 / np.sqrt(sum((dense(at) ** 2).sum(axis=0) for at in cuts) / len(rows) + 1e-8)).astype(np.float32)
+    kept = {at: dense(at) for at in cuts[:KEPT_BLOCKS]}  # the others are made anew in each round
+    blocks = lambda: ((slice(at, at + BLOCK), kept[at] if at in kept else dense(at)) for at in cuts)
     who = np.array([langs.index(r[0]) for r in rows])
     y = codewords(len(langs))[who].astype(np.float32)
     share = (1 / np.bincount(who)[who] / len(langs)).astype(np.float32)[:, None]
-    n = np.abs(x).sum(axis=1).mean()
-    w, b = np.zeros((x.shape[1], y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
+    n = sum(float(np.abs(x).sum()) for _, x in blocks()) / len(rows)
+    w, b = np.zeros((1 << BUCKET_BITS, y.shape[1]), dtype=np.float32), np.zeros(y.shape[1], dtype=np.float32)
     sw, sb = np.full_like(w, 1e-6), np.full_like(b, 1e-6)
     for _ in range(rounds):
-        f = x @ w + b
-        g = -y / (1 + np.exp(np.clip(y * f, -30, 30))) * share
-        gw, gb = x.T @ g + 1e-5 * w, g.sum(axis=0)
+        gw, gb = 1e-5 * w, np.zeros_like(b)
+        for at, x in blocks():
+            f = x @ w + b
+            g = -y[at] / (1 + np.exp(np.clip(y[at] * f, -30, 30))) * share[at]
+            gw, gb = gw + x.T @ g, gb + g.sum(axis=0)
         sw, sb = sw + gw ** 2, sb + gb ** 2
         w -= 5 / n * gw / np.sqrt(sw)
         b -= 0.1 * gb / np.sqrt(sb)
-    wrong = (((x @ w + b) * y <= 0) * share).sum(axis=0)
+    wrong = sum((((x @ w + b) * y[at] <= 0) * share[at]).sum(axis=0) for at, x in blocks())
     trust = np.log((1 - wrong + 1e-3) / (wrong + 1e-3))
     return Model(langs, np.ascontiguousarray((w * scale[:, None]).T), b, np.maximum(trust, 0.0) / max(trust.max(), 1e-9))
 
