@@ -58,6 +58,62 @@ def test_estimate_recovers_accuracies():
     assert model.right_good == pytest.approx(right, abs=0.06)
 
 
+def judged(votes, model, threshold=0.5):
+    """The verdict written out from the model's numbers."""
+    odds = model.prior / (1 - model.prior)
+    for v, g, b in zip(votes, model.right_good, model.right_bad):
+        odds *= g / (1 - b) if v == 1 else (1 - g) / b if v == -1 else 1
+    return odds / (1 + odds)
+
+
+def rule_votes(text):
+    """The nine rules by hand."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, chars, symbols, copies, repeats = counts(text)
+    joined = "".join(words)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+    stops, capitals, exclaims = len(set(words) & set(Q.STOP_WORDS)), sum("A" <= c <= "Z" for c in joined), joined.count("!")
+    of = lambda a, b: a / max(b, 1)
+    pairs = [
+        (n < 10, n >= 50), (of(symbols_in(joined), n) > 0.2, n >= 10 and of(symbols_in(joined), n) <= 0.02), (of(symbols, chars) > 0.04, n >= 10 and of(symbols, chars) <= 0.004),
+        (lines >= 6 and of(copies, lines) > 0.3, lines >= 3 and copies == 0), (of(repeats, n) > 0.2, n >= 30 and of(repeats, n) <= 0.02),
+        (not 2.5 <= of(chars, n) <= 12, 3 <= of(chars, n) <= 9), (n >= 60 and stops == 0, stops >= 3), (of(capitals, chars) > 0.3, chars >= 40 and of(capitals, chars) < 0.1), (of(exclaims, n) > 0.3, n >= 30 and of(exclaims, n) < 0.05),
+    ]
+    return tuple(-1 if bad else 1 if good else 0 for bad, good in pairs)
+
+
+def symbols_in(joined):
+    return len(re.findall(r"[#*$%&|<>]", joined))
+
+
+def maximised(patterns, rounds=200, strength=0.02, held=(0.97, 0.3, 0.9)):
+    """Expectation-maximisation pattern by pattern."""
+    k, total = len(Q.RULES), sum(c for _, c in patterns)
+    p, s = [0.05 if -1 in v else 0.95 if 1 in v else 0.5 for v, _ in patterns], strength * max(1, total)
+    for _ in range(rounds):
+        good, bad = [], []
+        for r in range(k):
+            g, b = [(w * c, v[r]) for (v, c), w in zip(patterns, p) if v[r]], [((1 - w) * c, v[r]) for (v, c), w in zip(patterns, p) if v[r]]
+            good.append(min(max((s * held[0] + sum(w for w, x in g if x == 1)) / (s + sum(w for w, _ in g)), 0.5), 0.9995))
+            bad.append(min(max((s * held[1] + sum(w for w, x in b if x == -1)) / (s + sum(w for w, _ in b)), 1 - good[-1] + 1e-6), 0.9995))
+        base = min(max((s * held[2] + sum(w * c for (_, c), w in zip(patterns, p))) / (s + total), 0.05), 0.995)
+        model = Q.RuleModel(base, tuple(good), tuple(bad))
+        p = [judged(v, model) for v, _ in patterns]
+    return model
+
+
+def test_verdicts_match_brute_force(spark):
+    for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+        votes = {k: rule_votes(t) for k, t in texts.items()}
+        model = maximised(sorted(Counter(votes.values()).items()))
+        got = Q.op9(spark, d).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            p = judged(votes[r["doc_id"]], model)
+            assert r["p_good"] == pytest.approx(p, abs=1e-4) and r["kept"] == (not r["base_failed"] and p >= 0.5)
+
+
 def test_agrees_with_labels(spark):
     d = "/root/testdata/sf0.01"
     both = Q.op9(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").groupBy("quality", "kept").count().collect()

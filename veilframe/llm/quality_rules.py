@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,31 +107,25 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, str
     A rule that looks for one defect passes bad documents with other defects, hence the second, low value. The first
     guess takes a document for bad if any rule votes so. A vote is never allowed to count against its own meaning.
     """
-    clip = lambda x, lo, hi: min(max(x, lo), hi)
-    guess = [0.05 if BAD in votes else 0.95 if GOOD in votes else 0.5 for votes, _ in patterns]
-    strength *= max(1, sum(count for _, count in patterns))
-    then: list[float] = []
+    votes = np.array([v for v, _ in patterns], dtype=np.int8).reshape(-1, len(RULES))
+    count = np.array([c for _, c in patterns], dtype=float)
+    says_good, says_bad = votes == GOOD, votes == BAD
+    said = (says_good | says_bad).astype(float)
+    p = np.where(says_bad.any(axis=1), 0.05, np.where(says_good.any(axis=1), 0.95, 0.5))
+    strength *= max(1.0, count.sum())
+    then = np.zeros(0)
     for _ in range(rounds):
-        sums = [[strength * held[0], strength, strength * held[1], strength] for _ in RULES]
-        mass = [strength * held[2], strength]
-        for (votes, count), p in zip(patterns, guess, strict=True):
-            mass[0] += p * count
-            mass[1] += count
-            for s, v in zip(sums, votes, strict=True):
-                if v:
-                    s[1] += p * count
-                    s[3] += (1 - p) * count
-                    s[0 if v == GOOD else 2] += (p if v == GOOD else 1 - p) * count
-        good = [clip(s[0] / s[1], 0.5, 0.9995) for s in sums]
-        bad = [clip(s[2] / s[3], 1 - g + 1e-6, 0.9995) for s, g in zip(sums, good, strict=True)]
-        base = clip(mass[0] / mass[1], 0.05, 0.995)
-        now = [*good, *bad, base]
-        if then and max(abs(x - y) for x, y in zip(now, then, strict=True)) < 1e-9:
+        weight_good, weight_bad = p * count, (1 - p) * count
+        good = np.clip((strength * held[0] + weight_good @ says_good) / (strength + weight_good @ said), 0.5, 0.9995)
+        bad = np.clip((strength * held[1] + weight_bad @ says_bad) / (strength + weight_bad @ said), 1 - good + 1e-6, 0.9995)
+        base = float(np.clip((strength * held[2] + weight_good.sum()) / (strength + count.sum()), 0.05, 0.995))
+        now = np.array([*good, *bad, base])
+        if len(then) and np.abs(now - then).max() < 1e-9:
             break
         then = now
-        for i, (votes, _count) in enumerate(patterns):
-            odds = math.log(base / (1 - base)) + sum(math.log(g / (1 - b)) if v == GOOD else math.log((1 - g) / b) if v == BAD else 0.0 for v, g, b in zip(votes, good, bad, strict=True))
-            guess[i] = 1 / (1 + math.exp(-clip(odds, -500, 500)))
+        odds = math.log(base / (1 - base)) + says_good @ np.log(good / (1 - bad)) + says_bad @ np.log((1 - good) / bad)
+        p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    good, bad = good.tolist(), bad.tolist()
     return RuleModel(base, tuple(good), tuple(bad))
 
 
