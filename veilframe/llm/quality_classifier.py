@@ -1,14 +1,15 @@
 """Graded quality by ordinal cumulative-link regression over hashed text.
 
 One weight vector w is shared by all grades; ordered thresholds t give P(grade <= k) = logistic(t[k] - w.x). Features
-are presences: hashed lower-cased words and their beginnings, the shapes of other marks, and bands of repetition and
-length. The expected
-grade orders documents, the tail probability P(grade >= keep_grade) selects them.
+are presences: hashed lower-cased whole words, beside them the stems of 4 and 5 letters of longer ones, shapes of runs of
+other marks (which characters, and how many in powers of two), and bands of repetition and length. The expected grade
+orders documents, the tail probability P(grade >= keep_grade) selects them.
 
 The grades of `documents` come from `labels`: 0 for toxic, 1 for low quality, 2 for neither.
 
 The fit runs on the driver over a sample of rated rows, drawn by a hash of the id so that about `sample` rows come
-(a documented bound), and keeps weights for the most telling features only. Scoring reads whole texts.
+(a documented bound), and keeps weights for at most `most_features` of them, the most telling (a bound on the model, 4,096
+by default; it says nothing about what is scored). Scoring reads whole texts.
 
 Defined cases: a null text is empty; an empty text is scored from its bands alone; rows without a grade teach nothing;
 with no rated rows every grade is equally likely; repeated rows get equal scores; an empty table is empty.
@@ -49,7 +50,8 @@ def features(text: str) -> set[str]:
     }
     distinct = set(lower)
     starts = {f"\x03{w[:n]}" for w in distinct for n in (4, 5) if len(w) > n}
-    return distinct | starts | {f"\x02{m[:4]}" for m in set(MARKS.findall(text))} | bands
+    shapes = {f"\x02{''.join(dict.fromkeys(m))}{len(m).bit_length()}" for m in set(MARKS.findall(text))}
+    return distinct | starts | shapes | bands
 
 
 class Model:
