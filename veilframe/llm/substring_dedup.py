@@ -112,7 +112,7 @@ class Group:
         self.x, self.sizes = names(texts)
         self.ends = np.cumsum(self.sizes)
         self.ids = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
 
     def named(self, window: int) -> np.ndarray:
         """Names of the windows of so many words from every start: of 1, 2, 4, ... words, put together."""
@@ -147,7 +147,7 @@ class Group:
             x, a, b = x[keep], a[keep], b[keep]
         return x, a, b
 
-    def anchors(self, window: int, rounds: int, phrase: int, every: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def anchors(self, window: int, rounds: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys, starts and ends of the anchors of documents that have a window: phrases, and windows with a word twice in a row."""
         if len(self.x) < window:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -181,8 +181,10 @@ class Group:
         twice = np.concatenate([[0], np.cumsum(self.x[1:] == self.x[:-1])])
         starts = self.windows(window)
         starts = starts[twice[starts + window - 1] > twice[starts]]
-        named = (self.named(window) if every is None else every)[starts]
-        return np.concatenate([key[chosen], mixed(named)]), np.concatenate([a[chosen], starts]), np.concatenate([end[chosen], starts + window])
+        special = self.x[starts]
+        for k in range(1, window):
+            special = joined(special, self.x[starts + k])
+        return np.concatenate([key[chosen], special]), np.concatenate([a[chosen], starts]), np.concatenate([end[chosen], starts + window])
 
     def windows(self, window: int) -> np.ndarray:
         """Starts of all windows within one document."""
@@ -200,22 +202,29 @@ class Group:
 
 
 class Holders:
-    """Keys in order; of the documents that hold each the least and the largest id, and a place in the least one."""
+    """Keys in order; of the documents that hold each the least and the largest id, and the first place in the least one."""
 
     def __init__(self, keys: np.ndarray, ids: np.ndarray, at: np.ndarray):
-        self.order = np.lexsort((at, ids, keys))
-        keys, self.ids, self.at = keys[self.order], ids[self.order], at[self.order]
+        order = np.argsort(keys, kind="stable")
+        keys, self.ids, self.at = keys[order], ids[order], at[order]
         first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
         cuts = np.flatnonzero(first)
-        self.number = np.cumsum(first) - 1
-        self.keys, self.least, self.place = keys[cuts], self.ids[cuts], self.at[cuts]
-        self.largest = self.ids[np.append(cuts[1:], len(keys)) - 1] if len(keys) else self.ids
+        self.keys, self.number = keys[cuts], np.cumsum(first, dtype=np.int32) - 1
+        self.least, self.largest = (f.reduceat(self.ids, cuts) if len(cuts) else self.ids for f in (np.minimum, np.maximum))
+        holds = np.flatnonzero(self.ids == self.least[self.number])
+        new = np.concatenate([[True], np.diff(self.number[holds]) > 0]) if len(holds) else np.zeros(0, bool)
+        self.place = self.at[holds[new]]
 
 
-def exact(texts: list[bytes | None]) -> np.ndarray:
-    """A number for each word of the texts, equal for equal words only."""
+def exact(texts: list[bytes | None], sizes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """A number for each word of the wanted texts, equal for equal words only; 0 for all words of the others."""
     numbers: dict[bytes, int] = {}
-    return np.concatenate([np.zeros(0, np.int64), *[np.fromiter((numbers.setdefault(w, len(numbers)) for w in (t or b"").split()), dtype=np.int64) for t in texts]])
+    out = np.zeros(int(sizes.sum()), dtype=np.int32)
+    ends = np.cumsum(sizes)
+    for d in np.flatnonzero(wanted).tolist():
+        words = (texts[d] or b"").split()
+        out[ends[d] - sizes[d]:ends[d]] = [numbers.setdefault(w, len(numbers) + 1) for w in words]
+    return out
 
 
 def stretches(places: np.ndarray, window: int) -> np.ndarray:
@@ -236,18 +245,26 @@ def repeated(group: Group, window: int, own: int, texts: list[bytes | None]) ->
     starts = group.windows(window)
     if not len(starts):
         return starts
-    words, every = exact(texts), group.named(window)
-    held = group.holders(every[starts], starts)
-    place, least = held.place[held.number], held.least[held.number]
-    candidate = least < held.ids
-    same = np.zeros(len(starts), dtype=bool)
+    keys = group.named(window)[starts]
+    ordered = np.sort(keys)
+    several = _within(keys, np.unique(ordered[1:][ordered[1:] == ordered[:-1]]))  # only names that occur twice matter
+    del ordered
+    held = group.holders(keys[several], starts[several])
+    del keys, several, starts
+    place, candidate = held.place[held.number], held.least[held.number] < held.ids
     at = np.flatnonzero(candidate)
+    wanted = np.zeros(len(texts), dtype=bool)
+    wanted[group.doc[held.at[at]]] = wanted[group.doc[place[at]]] = True
+    words = exact(texts, group.sizes, wanted)
+    same = np.zeros(len(held.at), dtype=bool)
     equal = np.ones(len(at), dtype=bool)
     for k in range(window):
         equal &= words[held.at[at] + k] == words[place[at] + k]
     same[at] = equal
     if not equal.all():
         odd = np.isin(held.number, np.unique(held.number[at[~equal]]))
+        wanted[group.doc[held.at[odd]]] = True
+        words = exact(texts, group.sizes, wanted)
         of: dict[tuple, int] = {}
         rows = [(tuple(words[p:p + window].tolist()), i, n) for p, i, n in zip(held.at[odd].tolist(), held.ids[odd].tolist(), np.flatnonzero(odd).tolist(), strict=True)]
         for w, i, _ in rows:
@@ -364,14 +381,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         starts = group.windows(window)
         if not len(starts):
             return _dealt(0, np.zeros(0, np.uint64), buckets, np.zeros(0, np.int64))
-        every = group.named(window)
-        keys, a, b = group.anchors(window, rounds, phrase, every)
+        keys, a, b = group.anchors(window, rounds, phrase)
         mine = _within(keys & ~np.uint64(1), _received(shared))
         first = np.maximum(b[mine] - window, 0)  # the windows that contain [a, b) start from b - window to a
         some = first <= a[mine]
         near = group.covered(first[some], (a[mine] + 1 - first)[some])
         starts = starts[near[starts]]
-        held = group.holders(every[starts], starts)
+        held = group.holders(group.named(window)[starts], starts)
         return _dealt(key[0].as_py(), held.keys, buckets, held.least)
 
     def ask(key, table):
