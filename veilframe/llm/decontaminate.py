@@ -20,14 +20,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.functions.offsets import running
+from veilframe.functions.validators import let
 from veilframe.llm.shared import chunks, documents, free_names, materialize, named
 
 #: Bytes of words: digits, letters (to lower case) and everything outside ASCII; the rest separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Bytes of text of the items up to which their windows are broadcast; README says how much memory that takes.
+MAX_INDEX_BYTES = 16 << 20
 SPANS = "n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>"
 _WORD = re.compile(rb"[^ ]+")
 
@@ -37,30 +41,48 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 class WindowSet:
-    """The distinct windows of the items over ids of their words, by length; each with the items that hold it."""
+    """The distinct windows of the items, by length: their keys in order, where the words of each stand, and the items that hold it.
+
+    Words are numbered; windows are kept as places in the items' words, some 20 bytes a word of the benchmark in all.
+    """
 
     def __init__(self, items: list[tuple[object, bytes | None]], width: int = 10):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple[int, ...], set]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)]
-            n = min(width, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                windows.setdefault(n, {}).setdefault(tuple(ids[i:i + n]), set()).add(None if item is None else str(item))
-        self.tables = []
-        for n, found in sorted(windows.items()):
-            rows, held = np.array(list(found), dtype=np.int64).reshape(-1, n), [sorted(x - {None}) for x in found.values()]
-            multiplier = 0x9E3779B97F4A7C15
-            while len(np.unique(keys := self.keys(rows, multiplier))) < len(keys):
-                multiplier += 2
-            order = np.argsort(keys)
-            self.tables.append((n, multiplier, keys[order], rows[order], [held[i] for i in order]))
+        lists = [np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(t)), dtype=np.int32) for _, t in items]
+        self.flat = np.concatenate([np.zeros(0, np.int32), *lists])
+        self.names = sorted({str(i) for i, _ in items if i is not None})
+        number = {n: k for k, n in enumerate(self.names)}
+        sizes = np.array([len(x) for x in lists], dtype=np.int64)
+        firsts = np.cumsum(sizes) - sizes
+        who = np.array([-1 if i is None else number[str(i)] for i, _ in items], dtype=np.int32)
+        self.tables = [self._table(n, firsts, sizes, who, width) for n in np.unique(np.minimum(sizes, width)).tolist() if n]
+
+    def _table(self, n: int, firsts: np.ndarray, sizes: np.ndarray, who: np.ndarray, width: int) -> tuple:
+        of = np.flatnonzero(sizes >= n if n == width else sizes == n)
+        many = sizes[of] - n + 1
+        item = np.repeat(who[of], many)
+        place = np.repeat(firsts[of], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        multiplier = 0x9E3779B97F4A7C15
+        while True:
+            keys = self.keys(self.flat, place, n, multiplier)
+            order = np.lexsort((item, keys))
+            keys, by, at = keys[order], item[order], place[order]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            first = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            if all(np.array_equal(self.flat[at + k], self.flat[first + k]) for k in range(n)):
+                break  # else two different windows have one key
+            multiplier += 2
+        cuts = np.flatnonzero(new)
+        single = (by >= 0) & (new | np.concatenate([[True], by[1:] != by[:-1]]))
+        held = np.concatenate([[0], np.cumsum(single)])[np.append(cuts, len(keys))]
+        return n, multiplier, keys[cuts], at[cuts], held, by[single]
 
     @staticmethod
-    def keys(rows: np.ndarray, multiplier: int) -> np.ndarray:
-        out = np.zeros(len(rows), dtype=np.uint64)
-        for k in range(rows.shape[1]):
-            out = (out ^ rows[:, k].astype(np.uint64)) * np.uint64(multiplier)
+    def keys(words: np.ndarray, at: np.ndarray, n: int, multiplier: int) -> np.ndarray:
+        """Of the n words from each place."""
+        out = np.zeros(len(at), dtype=np.uint64)
+        for k in range(n):
+            out = (out ^ words[at + k].astype(np.uint64)) * np.uint64(multiplier)
             out ^= out >> np.uint64(29)
         return out
 
@@ -71,49 +93,61 @@ class WindowSet:
         for x in lists:
             flat += x
             flat.append(None)  # no window crosses it
-        ids = np.fromiter(map(self.vocabulary.get, flat, repeat(0)), dtype=np.int64, count=len(flat))
+        ids = np.fromiter(map(self.vocabulary.get, flat, repeat(0)), dtype=np.int32, count=len(flat))
         ends = np.cumsum([len(x) + 1 for x in lists])
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         hit, found = np.zeros(len(ids) + 1, dtype=np.int64), [set() for _ in lists]
-        for n, multiplier, keys, rows, held in self.tables:
+        for n, multiplier, keys, places, held, by in self.tables:
             if len(ids) < n:
                 continue
             at = np.flatnonzero(known[n:] - known[:-n] == n)
-            seen = ids[at[:, None] + np.arange(n)]
-            place = np.minimum(np.searchsorted(keys, k := self.keys(seen, multiplier)), len(keys) - 1)
-            true = keys[place] == k
-            at, place, seen = at[true], place[true], seen[true]
-            true = (rows[place] == seen).all(axis=1)
-            at, place = at[true], place[true]
+            found_at = np.minimum(np.searchsorted(keys, k := self.keys(ids, at, n, multiplier)), len(keys) - 1)
+            true = keys[found_at] == k
+            at, found_at = at[true], found_at[true]
+            true = np.ones(len(at), dtype=bool)
+            for k in range(n):
+                true &= self.flat[places[found_at] + k] == ids[at + k]
+            at, found_at = at[true], found_at[true]
             np.add.at(hit, at, 1)
             np.add.at(hit, at + n, -1)
-            for d, p in zip(np.searchsorted(ends, at, side="right").tolist(), place.tolist(), strict=True):
-                found[d].update(held[p])
+            for d, p in zip(np.searchsorted(ends, at, side="right").tolist(), found_at.tolist(), strict=True):
+                found[d].update(by[held[p]:held[p + 1]].tolist())
         covered = np.cumsum(hit)[:-1] > 0
-        return [(len(x), covered[e - len(x) - 1:e - 1], sorted(f)) for x, e, f in zip(lists, ends.tolist(), found, strict=True)]
+        return [(len(x), covered[e - len(x) - 1:e - 1], sorted(self.names[i] for i in f)) for x, e, f in zip(lists, ends.tolist(), found, strict=True)]
 
 
 def joined_spans(plain: DataFrame, items: DataFrame, width: int) -> DataFrame:
-    """The same spans by a shuffle join of windows, for benchmarks too large to broadcast. plain has _text; items _item and _text."""
+    """The same spans by a shuffle join of windows, for benchmarks too large to broadcast. plain has _text; items _item and _text.
+
+    Of the corpus' windows only place and hash travel; what meets a window of an item comes back to its row, and counts
+    if the words are the same.
+    """
     lower = F.translate(F.coalesce(F.col("_text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     listed = F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
     items = items.select("_item", listed.alias("_w")).filter(F.size("_w") > 0).withColumn("_n", F.least(F.size("_w"), F.lit(width)))
     window = lambda i: F.array_join(F.slice("_w", i + 1, F.col("_n")), " ")
     items = items.select("_n", "_item", F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - F.col("_n")), window)).alias("_k")).distinct()
+    items = materialize(items.withColumn("_h", F.xxhash64("_k")), "items")
     sizes = F.broadcast(items.select("_n").distinct())  # at most `width` rows
     rows = materialize(plain.withColumn("_id", F.monotonically_increasing_id()).withColumn("_w", listed).drop("_text"), "windows")
-    each = rows.select("_id", "_w").join(sizes, F.size("_w") >= F.col("_n")).select("_id", "_n", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_w") - F.col("_n")), window)).alias("_p", "_k"))
-    hits = each.join(items, ["_n", "_k"])
-    words = hits.select("_id", F.explode(F.sequence(F.col("_p").cast("bigint"), (F.col("_p") + F.col("_n") - 1).cast("bigint"))).alias("_p")).distinct()
-    runs = words.withColumn("_run", F.col("_p") - F.row_number().over(Window.partitionBy("_id").orderBy("_p"))).groupBy("_id", "_run").agg(F.min("_p").alias("start"), (F.max("_p") + 1).alias("end"))
-    spans = runs.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_found"))
-    held = hits.filter("_item IS NOT NULL").select("_id", "_item").distinct().groupBy("_id").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
-    out = rows.join(spans, "_id", "left").join(held, "_id", "left")
-    struct = F.struct(F.size("_w").cast("bigint").alias("n_words"), F.coalesce("_found", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"))
+    each = rows.select("_id", "_w").join(sizes, F.size("_w") >= F.col("_n"))
+    each = each.select("_id", "_n", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_w") - F.col("_n")), lambda i: F.xxhash64(window(i)))).alias("_p", "_h"))
+    met = each.join(items.hint("merge"), ["_n", "_h"]).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_p", "_n", "_k", "_item"))).alias("_met"))
+    true = F.filter(F.coalesce("_met", F.array().cast("array<struct<_p:int,_n:int,_k:string,_item:string>>")), lambda m: F.array_join(F.slice("_w", m["_p"] + 1, m["_n"]), " ") == m["_k"])
+    out = rows.join(met, "_id", "left").withColumn("_met", true)
+
+    def united(met: Column, upto: Column) -> Column:
+        firsts = F.filter(F.sequence(F.lit(0), F.size(met) - 1), lambda i: (i == 0) | (F.get(met, i)["_p"] > F.get(upto, i - 1)))
+        span = lambda of, i, k: F.struct(F.get(met, i)["_p"].cast("bigint").alias("start"), F.get(upto, F.coalesce(F.get(of, k + 1), F.size(met)) - 1).cast("bigint").alias("end"))
+        return let(firsts, lambda of: F.transform(of, lambda i, k: span(of, i, k)))
+
+    spans = let(F.col("_met"), lambda met: F.when(F.size(met) == 0, F.array().cast("array<struct<start:bigint,end:bigint>>")).otherwise(let(running(F.transform(met, lambda m: m["_p"] + m["_n"]), F.greatest), lambda upto: united(met, upto))))
+    held = F.array_sort(F.array_distinct(F.filter(F.transform("_met", lambda m: m["_item"]), lambda i: i.isNotNull())))
+    struct = F.struct(F.size("_w").cast("bigint").alias("n_words"), spans.alias("spans"), held.alias("items"))
     return out.select(*[c for c in plain.columns if c != "_text"], struct.alias("_spans"))
 
 
-def benchmark_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_cols: list[str] | None = None, width: int = 10, max_index_bytes: int = 64 << 20) -> DataFrame:
+def benchmark_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_cols: list[str] | None = None, width: int = 10, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """One row per row of df: keep_cols (default: all) and the struct _spans: ranges of hit words, ids of the items found."""
     cols = keep_cols if keep_cols is not None else df.columns
     plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)], named(text_col).cast("binary").alias("_text"))
@@ -142,7 +176,7 @@ def benchmark_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)], F.col("_spans").alias(*free_names(cols, "_spans")))
 
 
-def benchmark_hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_cols: list[str] | None = None, width: int = 10, max_index_bytes: int = 64 << 20) -> DataFrame:
+def benchmark_hits(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_cols: list[str] | None = None, width: int = 10, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """One row per row of df: keep_cols (default: all) and the struct _hits, the digests of benchmark_spans."""
     cols = keep_cols if keep_cols is not None else df.columns
     found = benchmark_spans(df, benchmark, text_col, item_col, item_text_col, cols, width, max_index_bytes).toDF(*[f"_c{i}" for i in range(len(cols))], "_s")
@@ -166,7 +200,7 @@ def without(text: bytes, spans: list[dict]) -> bytes:
     return b"".join([*kept, text[done:]])
 
 
-def remove_benchmark_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, max_index_bytes: int = 64 << 20) -> DataFrame:
+def remove_benchmark_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """df with the hit words cut out of text_col, and _n_removed, how many went. No row goes.
 
     Words that meet at a cut can make a window anew, so texts that were cut are searched again until none has a hit.
