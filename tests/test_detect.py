@@ -91,7 +91,7 @@ def test_names_of_whole_texts_equal_plain_python(spark, tmp_path):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     docs += [(-1, "Çağrı Öztürk geldi"), (-2, "x Çauxan Çauxan Çauxan, Enachsch Erachü"), (-3, "éAli Veli"), (-4, ""), (-5, None)]
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in entry.queries()["detect_person_name_unicode"](spark, str(tmp_path)).select("key", "start", "end", "value").collect()}
+    got = {tuple(r) for r in entry.queries()["detect_person_name"](spark, str(tmp_path)).select("key", "start", "end", "value").collect()}
     assert got == {(k, s, e, v) for k, t in docs for s, e, _, v in python_detect.detect(t or "", Settings(("person_name",)))}
     assert {v for k, *_, v in got if k < 0} == {"Çağrı Öztürk", "Çauxan Çauxan Çauxan", "Enachsch Erachü"}
 

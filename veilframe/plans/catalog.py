@@ -51,8 +51,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 TEXTS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "documents": (lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("t")), "SELECT doc_id AS key, text AS t FROM documents"),
-    # Engines differ on whether a letter outside ASCII borders a word; a low line in its place borders none in any.
-    "plain": (lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("key"), F.regexp_replace("text", r"[^\x00-\x7F]", "_").alias("t")), "SELECT doc_id AS key, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS t FROM documents"),
     "pages": (lambda s, d: table(s, d, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("t")), "SELECT page_id AS key, html AS t FROM pages"),
 }
 
@@ -74,7 +72,7 @@ _spelled("labels", "orders", "o_orderkey", "concat(CASE o_orderkey % 6 WHEN 0 TH
 #: Detector -> (text, settings that switch it on).
 _DETECTIONS = {
     "detect_email": ("email", "documents", DEFAULT), "detect_card_luhn": ("credit_card", "documents", DEFAULT), "detect_phone_isolated": ("phone", "documents", DEFAULT),
-    "detect_labelled_password": ("labelled_password", "documents", DEFAULT), "detect_labels_spelled": ("labelled_password", "labels", DEFAULT), "detect_person_name": ("person_name", "plain", Settings(("person_name",))),
+    "detect_labelled_password": ("labelled_password", "documents", DEFAULT), "detect_labels_spelled": ("labelled_password", "labels", DEFAULT), "detect_person_name": ("person_name", "documents", Settings(("person_name",))),
     "detect_credential_shape": ("credential", "credentials", DEFAULT), "detect_tckn": ("national_id", "customers", DEFAULT), "detect_iban": ("iban", "accounts", DEFAULT),
     "detect_intl_phone": ("phone_international", "suppliers", DEFAULT), "detect_domestic_phone": ("phone", "suppliers", DEFAULT), "detect_custom_words": ("custom_word", "documents", WORDS), "detect_email_html": ("email", "pages", DEFAULT), "detect_card_html": ("credit_card", "pages", DEFAULT),
 }
@@ -91,11 +89,7 @@ def _detection(detector: P.Detector, text: str) -> Query:
 for _name, (_detector, _text, _settings) in _DETECTIONS.items():
     _d = next(d for d in P.detectors(_settings) if d.name == _detector)
     QUERIES[_name] = _detection(_d, _text)
-    ORACLES[_name] = f'SELECT key, "start", "end", value FROM ({O.candidates(TEXTS[_text][1], _d)})'
-
-#: Queries without SQL, which are held against the plain Python detectors instead: RE2 has no Unicode word boundary.
-WITHOUT_SQL: dict[str, Query] = {"detect_person_name_unicode": _detection(P.detectors(Settings(("person_name",)))[0], "documents")}
-
+    ORACLES[_name] = f'SELECT key, "start", "end", value FROM ({(O.person_names if _detector == "person_name" else O.candidates)(TEXTS[_text][1], _d)})'
 
 # Scalar functions.
 

@@ -58,6 +58,17 @@ def candidates(source: str, d: P.Detector) -> str:
   WINDOW w AS (PARTITION BY key ORDER BY i)) WHERE {_valid(d.name)} {isolated}"""
 
 
+def person_names(source: str, d: P.Detector) -> str:
+    """The same for names. RE2's word boundary knows ASCII only, so it is asked about a text of the same length in which the
+    pattern's other letters are spelled A and a, further letters, marks and digits _, and all else outside ASCII -."""
+    upper, lower = "ÇĞİÖŞÜ", "çğıöşü"
+    ascii_only = P.Detector(d.name, d.kind, d.pattern.replace(upper, "").replace(lower, ""))
+    word = "|".join(rf"[^\x00-\x7F\P{{{c}}}]" for c in ("L", "M", "Nd", "Nl", "Pc"))
+    spelled = f"regexp_replace(regexp_replace(translate(t, '{upper}{lower}', 'AAAAAAaaaaaa'), '{word}', '_', 'g'), '[^\\x00-\\x7F]', '-', 'g')"
+    found = candidates(f"SELECT key, {spelled} AS t FROM ({source})", ascii_only)
+    return f"""SELECT key, "start", "end", kind_ord, substr(t, ("start" + 1)::BIGINT, ("end" - "start")::BIGINT) AS value FROM ({found}) JOIN ({source}) USING (key)"""
+
+
 def detected(source: str, settings: Settings) -> str:
     """CTEs up to `hits`: (key, pos, start, end, kind_ord, value), overlaps resolved."""
     every = "\nUNION ALL\n".join(f"({candidates('SELECT key, t FROM src', d)})" for d in P.detectors(settings))
