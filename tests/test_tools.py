@@ -131,3 +131,12 @@ def test_stream_equals_batches(spark, tmp_path):
 def test_settings_reject_unknown_kinds():
     with pytest.raises(ValueError, match="unknown kinds"):
         Settings(("email", "nope"))
+
+
+def test_default_mapping_file(tmp_path):
+    for env, want in (({"HOME": str(tmp_path)}, tmp_path / ".veilframe" / "mappings.json"), ({"HOME": str(tmp_path), "VEILFRAME_MAPPINGS": str(tmp_path / "own.json")}, tmp_path / "own.json")):
+        s = Session.from_env(env)
+        assert s.store.path == want and not want.exists()
+        assert s.anonymize_text("a@b.com").startswith("EPOSTA_1") and len(s.store) == 1 and want.exists()
+        assert len(Session.from_env(env).store) == 1
+    assert Session.from_env({}).store.path is None

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe import guard
 from veilframe.folders import new_path
 from veilframe.functions import patterns as P
 from veilframe.functions import validators as V
@@ -20,6 +21,7 @@ from veilframe.operators import mapping as M
 from veilframe.operators.detect import candidates, detect, kind_name, matches, resolve_overlaps
 from veilframe.operators.mask import Masked, edit, has_restorable, mask, restore
 from veilframe.plans import oracles as O
+from veilframe.session import Session
 from veilframe.sources import documents as D
 from veilframe.sources import formats, ooxml, pdf
 
@@ -290,20 +292,30 @@ for _name, _old, _sql in (("edit_unique", lambda: F.col("text"), "text"), ("edit
 
 # Document formats: files made from the documents, in memory, then read.
 
-def _made(spark: SparkSession, sf_dir: str, make: Callable[[str], bytes], look: Callable[[str, bytes], tuple], schema: str) -> DataFrame:
+_ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def _rows(df: DataFrame, look: Callable[[int, str | None], tuple], schema: str) -> DataFrame:
+    """Rows (key, ...) of the schema, by look(key, t) from a relation (key, t)."""
+    fields = [x.split() for x in schema.split(", ")]
+
     def run(batches):
         for batch in batches:
-            rows = [(key, *look(t or "", make(t or ""))) for key, t in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist(), strict=True)]
-            names = [x.split()[0] for x in schema.split(", ")]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=pa.schema([(n, {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)]))
+            rows = [(key, *look(key, t)) for key, t in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _ARROW[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+    return df.mapInArrow(run, schema)
 
-    return TEXTS["documents"][0](spark, sf_dir).mapInArrow(run, schema)
+
+def _made(spark: SparkSession, sf_dir: str, make: Callable[[str], bytes], look: Callable[[str, bytes], tuple], schema: str) -> DataFrame:
+    return _rows(TEXTS["documents"][0](spark, sf_dir), lambda _, t: look(t or "", make(t or "")), schema)
 
 
 def make_docx(text: str) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("[Content_Types].xml", "<Types>the </Types>")
+        z.writestr(zipfile.ZipInfo("word/media/image1.png"), b"the \x89PNG", zipfile.ZIP_STORED)
         z.writestr("word/document.xml", "<d>" + "\n ".join(f"<p><t>{escape(line)}</t></p>" for line in text.split("\n")) + "</d>")
     return out.getvalue()
 
@@ -337,6 +349,113 @@ def _ooxml_edit(spark, sf_dir):
     return _made(spark, sf_dir, make_docx, lambda t, b: (ooxml.replace_text(b, "the ", "a <b> ")[1],), "key bigint, replaced bigint")
 
 
+def _untouched(before: bytes, after: bytes) -> bool:
+    """Whether members, their order, their compression and the bytes of all but the text are the same."""
+    with zipfile.ZipFile(io.BytesIO(before)) as a, zipfile.ZipFile(io.BytesIO(after)) as b:
+        same = [(x.filename, x.compress_type) for x in a.infolist()] == [(x.filename, x.compress_type) for x in b.infolist()]
+        return same and all(a.read(n) == b.read(n) for n in a.namelist() if n != "word/document.xml")
+
+
+@_query("ooxml_rewritten", f"SELECT doc_id AS key, replace(array_to_string({_LINES}, chr(10)), 'the ', 'a <b> & ') || CASE WHEN len({_LINES}) > 0 THEN chr(10) ELSE '' END AS extracted, true AS untouched FROM documents")
+def _ooxml_rewritten(spark, sf_dir):
+    def look(t: str, made: bytes) -> tuple:
+        done = ooxml.replace_text(made, "the ", "a <b> & ")[0]
+        return ooxml.extract_text(done), _untouched(made, done)
+
+    return _made(spark, sf_dir, make_docx, look, "key bigint, extracted string, untouched boolean")
+
+
+@_query("ooxml_unread_pictures", "SELECT doc_id AS key, true AS warned FROM documents")
+def _ooxml_unread_pictures(spark, sf_dir):
+    return _made(spark, sf_dir, make_docx, lambda t, b: ("word/media/image1.png" in D.document_text("x.docx", b).rpartition("WARNING")[2],), "key bigint, warned boolean")
+
+
+_MEMBERS = ("word/document.xml", "word/header.rels", "xl/sharedStrings.xml", "xl/worksheets/s1.xml", "xl/styles.xml", "xl/charts/c.XML", "ppt/slides/s.xml", "ppt/notesSlides/n.xml", "docProps/core.xml", "docProps/app.xml", "word/media/a.PNG", "ppt/media/b.heic", "xl/media/c.tiff", "other/media/d.png")
+_spelled("members", "pages", "page_id", f"CASE page_id % {len(_MEMBERS)}" + "".join(f" WHEN {i} THEN '{m}'" for i, m in enumerate(_MEMBERS)) + " END")
+_TEXT_PREFIX = " OR ".join(f"starts_with(t, '{m}')" for m in ooxml.TEXT_MEMBERS)
+
+
+@_query("ooxml_members", f"SELECT key, t AS member, t LIKE '%.xml' AND ({_TEXT_PREFIX}) AS text, regexp_matches(t, '^(word|xl|ppt)/media/') AND regexp_matches(lower(t), '[.](png|jpe?g|tiff?|bmp|gif)$') AS picture FROM ({TEXTS['members'][1]})")
+def _ooxml_members(spark, sf_dir):
+    return _rows(TEXTS["members"][0](spark, sf_dir), lambda _, t: (t, ooxml.carries_text(t), ooxml.is_media(t)), "key bigint, member string, text boolean, picture boolean")
+
+
+@_query("plain_text_scan", "SELECT doc_id AS key, CASE WHEN doc_id % 10 <> 3 THEN coalesce(text, '') END AS text, doc_id % 10 = 3 AS refused FROM documents")
+def _plain_text_scan(spark, sf_dir):
+    """Every tenth file ends in a byte that no UTF-8 text has."""
+    content = F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.when(F.col("doc_id") % 10 == 3, F.unhex(F.lit("FF"))).otherwise(F.lit("").cast("binary")))
+    found = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), D.plain_text(content).alias("p"))
+    return found.select("key", "p.text", F.col("p.error").isNotNull().alias("refused"))
+
+
+# Tools over single files and snippets.
+
+def _refused(call: Callable[[], object]) -> bool:
+    try:
+        call()
+    except guard.Refused:
+        return True
+    return False
+
+
+_PATHS = ("/srv/in/a.txt", "/srv/in/../other/a.txt", "/srv/inner/a.txt", "/dev/null", "/proc/self/mem", "/srv/in/new folder/./b.txt", "relative.txt", "/srv/in")
+
+
+@_query("path_guard", f"SELECT page_id AS key, page_id % {len(_PATHS)} NOT IN (0, 5, 7) AS refused, page_id % {len(_PATHS)} IN (3, 4) AS refused_anywhere FROM pages")
+def _path_guard(spark, sf_dir):
+    """Places for files within a root, beside it and on devices; and the same without any root."""
+    def look(key: int, _) -> tuple:
+        path = _PATHS[key % len(_PATHS)]
+        return _refused(lambda: guard.check_path(path, ("/srv/in",))), _refused(lambda: guard.check_path(path))
+
+    return _rows(TEXTS["pages"][0](spark, sf_dir), look, "key bigint, refused boolean, refused_anywhere boolean")
+
+
+@_query("write_guard", "SELECT page_id AS key, page_id % 6 <> 3 AS whole_refused, page_id % 6 IN (1, 2, 4) AS edit_refused FROM pages")
+def _write_guard(spark, sf_dir):
+    names = ("a.docx", "b.PNG", "c.pdf", "d.csv", "e.heic", "f.Xlsm")
+    def look(key: int, _) -> tuple:
+        return tuple(_refused(lambda: guard.check_writable_format(names[key % 6], whole)) for whole in (True, False))
+
+    return _rows(TEXTS["pages"][0](spark, sf_dir), look, "key bigint, whole_refused boolean, edit_refused boolean")
+
+
+@_query("tool_calls", "SELECT c_custkey AS key, CASE WHEN c_custkey % 4 = 3 OR c_custkey % 3 = 1 OR (c_custkey % 4 = 1 AND c_custkey % 5 <> 0) THEN 'refused' WHEN c_custkey % 4 = 0 THEN 'EPOSTA_1' || chr(10) || chr(10) || '(1 masked: 1 EPOSTA)' WHEN c_custkey % 4 = 2 THEN 'plain ' || c_custkey ELSE '(none of the placeholders in it is known)' END AS said FROM customer")
+def _tool_calls(spark, sf_dir):
+    """Tools by name: unknown ones, missing arguments and answers that would reveal values are refused."""
+    def look(key: int, _) -> tuple:
+        name, text = (("anonymize_text", f"u{key}@example.com"), ("restore_text", "TCKN_1"), ("anonymize_text", f"plain {key}"), ("no_such_tool", ""))[key % 4]
+        try:
+            return (Session(allow_reveal=key % 5 == 0).dispatch(name, {} if key % 3 == 1 else {"text": text}),)
+        except guard.Refused:
+            return ("refused",)
+
+    return _rows(TEXTS["referred"][0](spark, sf_dir), look, "key bigint, said string")
+
+
+@_query("snippet_masked", f"SELECT event_id AS key, 'user EPOSTA_1 did ' || event_type || ', user EPOSTA_1' || chr(10) || chr(10) || '(1 masked: 1 EPOSTA)' AS said FROM events")
+def _snippet_masked(spark, sf_dir):
+    events = table(spark, sf_dir, "events").selectExpr("event_id AS key", "concat('user u', cast(user_id AS STRING), '@example.com did ', event_type, ', user u', cast(user_id AS STRING), '@example.com') AS t")
+    return _rows(events, lambda _, t: (Session().anonymize_text(t),), "key bigint, said string")
+
+
+@_query("snippet_restored", f"WITH names AS ({_NAMES}) SELECT c_custkey AS key, CASE WHEN {_KNOWN} IS NULL THEN '(none of the placeholders in it is known)' ELSE concat('x ', {_KNOWN}, ', TCKN_0', c_custkey % 9, ' TCKN_', c_custkey % 7, 'y KART_', c_nationkey, '. ', c_name) END AS said FROM customer")
+def _snippet_restored(spark, sf_dir):
+    names = {f"TCKN_{r['r_regionkey']}": r["r_name"] for r in table(spark, sf_dir, "region").collect()}  # five rows
+
+    def look(_, t: str) -> tuple:
+        session = Session(allow_reveal=True)
+        session.store.to_value.update(names)
+        return (session.restore_text(t),)
+
+    return _rows(TEXTS["referred"][0](spark, sf_dir), look, "key bigint, said string")
+
+
+@_query("mapping_size", f"{_CONTACT_HITS}, {O.minted()} SELECT count(*) AS n FROM mapping")
+def _mapping_size(spark, sf_dir):
+    return _masked(spark, sf_dir).mapping.agg(F.count("*").alias("n"))
+
+
 @_query("pdf_classify", "SELECT doc_id AS key, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) < 16 AS scanned FROM documents")
 def _pdf_classify(spark, sf_dir):
     return _made(spark, sf_dir, make_pdf, lambda t, b: (pdf.needs_ocr(pdf.extract_text(b)),), "key bigint, scanned boolean")
