@@ -51,6 +51,14 @@ def test_ids_equal_the_library(library):
         assert own.ids(text) == library(text).ids, hex(ord(letters[i]))
 
 
+def test_both_ways_to_tokenise_agree_across_their_border(library):
+    own = bpe.load(None)
+    base = "The quick brown fox, 42 étés 😀\n\n  and 'more' words___ here; "
+    for n in (bpe.FAST_CHARS - 1, bpe.FAST_CHARS, bpe.FAST_CHARS + 1, 2 * bpe.FAST_CHARS):
+        text = (base * (n // len(base) + 1))[:n]
+        assert own.ids(text) == own.fast.encode_ordinary(text) == library(text).ids, n
+
+
 def test_pieces_and_sequences(spark, library):
     texts = [(1, None), (2, ""), (None, "null id"), (3, "same"), (3, "same"), (4, "word " * 2047), (5, "word " * 2048), (6, "long text here " * 3000), *[(i, "some words " * (i % 97)) for i in range(10, 400)]]
     df = spark.createDataFrame([(d, t, 5) for d, t in texts], "doc_id bigint, text string, length int")

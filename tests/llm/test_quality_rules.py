@@ -1,7 +1,9 @@
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilframe.llm import quality_rules as Q
 
@@ -40,6 +42,19 @@ def test_documents_match_brute_force(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts(texts[r["doc_id"]])
 
 
+def test_time_grows_with_the_text(spark):
+    seconds = []
+    for n in (1000, 50_000, 100_000, 200_000):
+        text = " ".join(f"w{i * 7919 % (n // 2)}" for i in range(n)) + "\n" + "x y z\n" * (n // 10)
+        df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+        began = time.perf_counter()
+        row = Q.with_features(df, F.col("text")).select("_f.*").first()
+        seconds.append(time.perf_counter() - began)
+        if n == 1000:
+            assert (row["n_words"], row["word_chars"], row["n_symbols"], row["n_dup_lines"], row["n_repeat_words"]) == counts(text)
+    assert seconds[2] < 2.5 * seconds[1] + 0.7 and seconds[3] < 2.5 * seconds[2] + 0.7, seconds
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert Q.quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(None, "same text", None, None)] * 3, SCHEMA)

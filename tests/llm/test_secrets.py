@@ -93,3 +93,14 @@ def test_time_grows_with_the_text(spark):
         seconds.append(time.perf_counter() - began)
         assert row["n"] >= 2 * n
     assert seconds[2] < 2.5 * seconds[1] + 0.7 and seconds[3] < 2.5 * seconds[2] + 0.7, seconds
+
+
+def test_missing_owner_and_repository_columns_are_one_owner(spark):
+    own = "Hh1Gg2Ff3Ee4Dd5Cc6Bb7Aa8"
+    rows = [(i, f"mine {own} and token=abcdefghijkl") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = S.scan_secrets(df, keep_cols=["doc_id"]).collect()
+    assert len(got) == 4 and all(r["n_live"] == 2 and r["n_copied"] == 0 for r in got)
+    assert [r["text"] for r in S.redact_secrets(df).collect()] == ["mine [SECRET] and [SECRET]"] * 4
+    with_source = df.withColumn("source", F.col("doc_id").cast("string"))
+    assert {r["text"] for r in S.redact_secrets(with_source).collect()} == {f"mine {own} and [SECRET]"}

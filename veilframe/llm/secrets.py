@@ -8,7 +8,8 @@ reported (kind "opaque") only if it is live-looking, base spans are always repor
 Shuffles carry candidates only, never texts: distinct (hash, owner, repository) with a partial aggregate, then the
 join back on the hash, which adaptive execution can split when one example is everywhere.
 
-Defined cases: null text is empty; null owner or repository counts as one owner or repository of its own; repeated
+Defined cases: null text is empty; null owner or repository, or a
+missing column of either, counts as one owner or repository of its own; repeated
 rows are separate rows; offsets are code points, end exclusive; columns of df may have any names.
 """
 
@@ -87,8 +88,9 @@ def scan_secrets(df: DataFrame, text_col: str = "text", owner_col: str = "source
     combination of repository_cols. A result whose name is taken by a kept column gets an underscore after it.
     """
     cols = keep_cols if keep_cols is not None else df.columns
-    owner = F.coalesce(named(owner_col).cast("string"), F.lit("\0"))
-    repository = F.to_json(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(repository_cols)]))
+    given = lambda c: named(c) if c in df.columns else F.lit(None).cast("string")
+    owner = F.coalesce(given(owner_col).cast("string"), F.lit("\0"))
+    repository = F.to_json(F.struct(*[given(c).alias(f"c{i}") for i, c in enumerate(repository_cols)]))
     plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)], owner.alias("_o"), repository.alias("_r"), named(text_col).alias("_text"))
     hashed = lambda spans: F.transform(spans, lambda x: F.struct(x["s"], x["k"], x["e"], F.unhex(F.sha2(x["v"].cast("binary"), 256)).alias("h")))
     found = with_spans(plain, F.col("_text")).drop("_text").withColumns({"_base": hashed(F.col("_base")), "_more": hashed(F.col("_more"))})
@@ -126,8 +128,9 @@ def redact_secrets(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
     plain = df.select(*[named(c).alias(f"_c{i}") for i, c in enumerate(cols)])
     at = f"_c{cols.index(text_col)}"
     any_candidate = F.coalesce(F.col(at).rlike("|".join((ASSIGN, ACCESS_LONG, HEX_LONG, OPAQUE))), F.lit(False))
-    renamed = {k: tuple(f"_c{cols.index(c)}" for c in v) if isinstance(v, tuple) else f"_c{cols.index(v)}" for k, v in {"owner_col": options.pop("owner_col", "source"), "repository_cols": options.pop("repository_cols", ("source", "lang"))}.items()}
-    some = scan_secrets(plain.filter(any_candidate), at, keep_cols=plain.columns, **renamed, **options)
+    place = lambda c: f"_c{cols.index(c)}" if c in cols else "_missing"
+    owner, repository = place(options.pop("owner_col", "source")), tuple(map(place, options.pop("repository_cols", ("source", "lang"))))
+    some = scan_secrets(plain.filter(any_candidate), at, owner, repository, plain.columns, **options)
     text, spans = F.col(at), F.col("_spans")
     clean = F.when(F.size(spans) == 0, text).otherwise(splice(text, _united(spans, mark)))
     changed = some.withColumn(at, clean).select(*plain.columns)
