@@ -166,7 +166,7 @@ def benchmark_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         def scan(batches):
             for batch in batches:
-                for part in chunks(batch, "_text"):
+                for part in chunks(batch, "_text", 2 << 20):
                     found = shipped.value.scan([x.as_py() for x in part.column("_text")])
                     spans = [{"n_words": n, "spans": ranges(mask), "items": i} for n, mask, i in found]
                     kept = part.select([c for c in part.schema.names if c != "_text"])
